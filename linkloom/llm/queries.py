@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.llm.bitplanes import op2_bitplane_ids
 from linkloom.llm.bpe import op6_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bitplane_ids": op2_bitplane_ids,
     "op6_bpe": op6_bpe,
 }
 
