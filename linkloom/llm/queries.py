@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.bitplanes import op2_bitplane_ids
 from linkloom.llm.bpe import op6_bpe
+from linkloom.llm.sharding import op10_balanced_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitplane_ids": op2_bitplane_ids,
     "op6_bpe": op6_bpe,
+    "op10_balanced_shards": op10_balanced_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
