@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from linkloom.llm.bitplanes import op2_bitplane_ids
 from linkloom.llm.bpe import op6_bpe
 from linkloom.llm.sharding import op10_balanced_shards
+from linkloom.llm.urls import SQL as OP7_SQL
+from linkloom.llm.urls import op7_redirect_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitplane_ids": op2_bitplane_ids,
     "op6_bpe": op6_bpe,
+    "op7_redirect_filter": op7_redirect_filter,
     "op10_balanced_shards": op10_balanced_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_redirect_filter": OP7_SQL,
+}
