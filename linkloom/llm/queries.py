@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.bitplanes import op2_bitplane_ids
 from linkloom.llm.bpe import op6_bpe
+from linkloom.llm.pii import op9_semi_crf_pii
 from linkloom.llm.sharding import op10_balanced_shards
 from linkloom.llm.urls import SQL as OP7_SQL
 from linkloom.llm.urls import op7_redirect_filter
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitplane_ids": op2_bitplane_ids,
     "op6_bpe": op6_bpe,
     "op7_redirect_filter": op7_redirect_filter,
+    "op9_semi_crf_pii": op9_semi_crf_pii,
     "op10_balanced_shards": op10_balanced_shards,
 }
 
