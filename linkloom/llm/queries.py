@@ -10,6 +10,7 @@ from linkloom.llm.bitplanes import op2_bitplane_ids
 from linkloom.llm.bpe import op6_bpe
 from linkloom.llm.pii import op9_semi_crf_pii
 from linkloom.llm.sharding import op10_balanced_shards
+from linkloom.llm.substrings import op8_cover_dedup
 from linkloom.llm.urls import SQL as OP7_SQL
 from linkloom.llm.urls import op7_redirect_filter
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitplane_ids": op2_bitplane_ids,
     "op6_bpe": op6_bpe,
     "op7_redirect_filter": op7_redirect_filter,
+    "op8_cover_dedup": op8_cover_dedup,
     "op9_semi_crf_pii": op9_semi_crf_pii,
     "op10_balanced_shards": op10_balanced_shards,
 }
