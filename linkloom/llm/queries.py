@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.bitplanes import op2_bitplane_ids
 from linkloom.llm.bpe import op6_bpe
+from linkloom.llm.fmindex import op3_fm_decontaminate
 from linkloom.llm.neardup import op4_containment_ensemble
 from linkloom.llm.pii import op9_semi_crf_pii
 from linkloom.llm.sharding import op10_balanced_shards
@@ -17,6 +18,7 @@ from linkloom.llm.urls import op7_redirect_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitplane_ids": op2_bitplane_ids,
+    "op3_fm_decontaminate": op3_fm_decontaminate,
     "op4_containment_ensemble": op4_containment_ensemble,
     "op6_bpe": op6_bpe,
     "op7_redirect_filter": op7_redirect_filter,
