@@ -15,11 +15,13 @@ from linkloom.llm.sharding import op10_balanced_shards
 from linkloom.llm.substrings import op8_cover_dedup
 from linkloom.llm.urls import SQL as OP7_SQL
 from linkloom.llm.urls import op7_redirect_filter
+from linkloom.llm.webp import op5_lossless_webp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitplane_ids": op2_bitplane_ids,
     "op3_fm_decontaminate": op3_fm_decontaminate,
     "op4_containment_ensemble": op4_containment_ensemble,
+    "op5_lossless_webp": op5_lossless_webp,
     "op6_bpe": op6_bpe,
     "op7_redirect_filter": op7_redirect_filter,
     "op8_cover_dedup": op8_cover_dedup,
