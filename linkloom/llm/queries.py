@@ -13,11 +13,13 @@ from linkloom.llm.neardup import op4_containment_ensemble
 from linkloom.llm.pii import op9_semi_crf_pii
 from linkloom.llm.sharding import op10_balanced_shards
 from linkloom.llm.substrings import op8_cover_dedup
+from linkloom.llm.toxicity import op1_ssk_toxicity
 from linkloom.llm.urls import SQL as OP7_SQL
 from linkloom.llm.urls import op7_redirect_filter
 from linkloom.llm.webp import op5_lossless_webp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ssk_toxicity": op1_ssk_toxicity,
     "op2_bitplane_ids": op2_bitplane_ids,
     "op3_fm_decontaminate": op3_fm_decontaminate,
     "op4_containment_ensemble": op4_containment_ensemble,
