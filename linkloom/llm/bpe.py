@@ -21,6 +21,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from linkloom.llm.common import small_batches, table, vocabulary_path
 
@@ -243,7 +244,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids"
     """
     path = path or vocabulary_path()
     base = docs.drop(ids_col, decoded_col)
-    schema = base.schema.add(ids_col, "array<int>").add(decoded_col, "string")
+    schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
