@@ -1 +1 @@
-
+"""Queries that come as a stream."""
