@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,7 @@ class WordEncoder:
 
     The tokenizer never merges over white space, so the ids of a text are
     those of its white-space separated words. Words not met yet are joined
-    and go through the library in one call; a word's share of the ids ends
-    with the last end-of-word token of its parts. Texts for which this does
+    and go through the library in one call. Texts for which this does
     not hold (added tokens, separators that only str.split takes for white
     space) go through the library whole.
     """
@@ -63,6 +63,9 @@ class WordEncoder:
             spec = json.load(f)
         self.width = 2 if len(spec["model"]["vocab"]) + len(spec["added_tokens"]) <= 1 << 16 else 4
         self.added = [t["content"] for t in spec["added_tokens"]]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.is_end = np.zeros(1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]), bool)
+        self.is_end[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -72,45 +75,66 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, words: list[str]) -> None:
-        """Give ``young`` the ids of words that neither generation has."""
-        if len(self.young) + len(words) > MEMORY_WORDS:
-            self.old, self.young = self.young, {}
-        got = self.tok.encode(" ".join(words), add_special_tokens=False)
-        ids = self._pack(got.ids)
-        at = np.array([a for a, _ in got.offsets], np.int64)
-        begins = np.cumsum([0] + [len(w) + 1 for w in words])
-        cut = (np.searchsorted(at, begins) * self.width).tolist()
-        for k, w in enumerate(words):
-            self.young[w] = ids[cut[k] : cut[k + 1]]
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not remembered, each kind of word in one call of the library."""
+        out, plain, other = {}, [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        if plain:  # one pre-token each, so each ends with the next end-of-word id
+            ids = np.array(self.tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u2" if self.width == 2 else "<u4")
+            ends = ((np.flatnonzero(self.is_end[ids]) + 1) * self.width).tolist()
+            raw, start = ids.tobytes(), 0
+            if len(ends) != len(plain):
+                other += plain
+            else:
+                for w, end in zip(plain, ends):
+                    out[w] = raw[start:end]
+                    start = end
+        if other:
+            got = self.tok.encode(" ".join(other), add_special_tokens=False)
+            raw = self._pack(got.ids)
+            at = np.array([a for a, _ in got.offsets], np.int64)
+            begins = np.cumsum([0] + [len(w) + 1 for w in other])
+            cut = (np.searchsorted(at, begins) * self.width).tolist()
+            for k, w in enumerate(other):
+                out[w] = raw[cut[k] : cut[k + 1]]
+        return out
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """A word as the tokenizer sees it, and a full stop or comma cut off its end."""
+        plain = word.lower() if word.isascii() else word
+        if plain[-1] in ".," and plain[:-1].isalpha():
+            return plain[:-1], plain[-1]
+        return plain, ""
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``width`` bytes."""
         split: list[list[str] | None] = []
-        fresh: dict[str, None] = {}
+        young = self.young
         for t in texts:
             if t and ((("<" in t) and any(a in t for a in self.added)) or _ODD.search(t)):
                 split.append(None)
                 continue
-            split.append(words := t.split() if t else [])
-            for w in set(words).difference(self.young):
-                kept = self.old.get(w)
-                if kept is None:
-                    fresh[w] = None
+            split.append(t.split() if t else [])
+        lacking = set(chain.from_iterable([s for s in split if s])).difference(young)
+        if lacking:
+            cuts = {w: self.parts(w) for w in lacking}
+            old, fresh, know = self.old, [], {}
+            for body in {x for c in cuts.values() for x in c if x}:
+                ids = young.get(body) or old.get(body)
+                if ids is None:
+                    fresh.append(body)
                 else:
-                    self.young[w] = kept
-        held = self.young
-        if fresh:
-            self.learn(list(fresh))
-        out = []
-        for t, words in zip(texts, split):
-            if words is None:
-                out.append(self.whole(t))
-            elif held is self.young:
-                out.append(b"".join(map(held.__getitem__, words)))
-            else:  # the generation changed meanwhile
-                out.append(b"".join([self.young[w] if w in self.young else held[w] for w in words]))
-        return out
+                    know[body] = ids
+            if fresh:
+                know |= self.learn(fresh)
+            made = {w: know[body] + know[mark] if mark else know[body] for w, (body, mark) in cuts.items()} | know
+            if len(young) + len(made) > MEMORY_WORDS:
+                self.old, self.young = young, made
+                held = young
+                return [self.whole(t) if s is None else b"".join([made[w] if w in made else held[w] for w in s]) for t, s in zip(texts, split)]
+            young.update(made)
+        get = young.__getitem__
+        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
 _loaded: dict[str, WordEncoder] = {}
