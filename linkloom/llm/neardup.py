@@ -7,10 +7,12 @@ partition's largest size turn the containment into a Jaccard threshold, for
 which every partition tunes its own bands and rows. A document is indexed in
 its own partition and queries that one and the next larger.
 
-Equal texts collapse first, to the least doc_id. Within a bucket nobody forms
-all pairs: members are checked, exactly, against one leader; those that fail
-go on among themselves, with the next leader, until none is left. Classes are
-the connected components of the links that passed.
+Equal texts collapse first, to the least doc_id. The members of a bucket are
+checked, exactly, against its leader, which joins copies by as many checks as
+there are members. Only where a bucket still holds several components of the
+links found are pairs of different components checked too, all of them, so no
+link that would join two classes is lost. Classes are the connected components
+of the links that passed.
 
 Defined cases: null texts are never copies of anything; texts without words
 are copies only of equal texts; texts below ``SHINGLE`` words have one
@@ -167,6 +169,20 @@ def passes(a: str, b: str) -> F.Column:
     return (hi <= F.floor(lo * RATIO + 1e-9)) & (F.size(F.array_intersect(a, b)) >= lo * CONTAINMENT - 1e-9)
 
 
+def _sizes_fit(n: str, m: str) -> F.Column:
+    return F.greatest(n, m) <= F.floor(F.least(n, m) * RATIO + 1e-9)
+
+
+def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, lead, ok): the exact test of candidate pairs."""
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("s").alias("t")), "lead")
+    return both.select("id", "lead", passes("s", "t").alias("ok"))
+
+
+def _edges(checked: DataFrame) -> DataFrame:
+    return checked.where("ok").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, copy_of, n_copies, n_links, n_shingles: a row per doc_id.
 
@@ -183,35 +199,32 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = one.select(F.col("doc_id").alias("id"), F.lower("text").alias("text")).where("text is not null")
     sketch = materialize(_sketch(texts), "sketch")
     reps = sketch.join(member.where("not blank and doc_id = copy_of").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    rows = reps.select("id", F.explode("buckets").alias("bucket"))
+    rows = reps.select("id", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     live = materialize(rows.join(shared, "bucket"), "buckets")
     near = materialize(live.select("id").distinct(), "near")
     sets = materialize(_sets(texts.join(near, "id", "left_semi")).groupBy("id").agg(F.min("s").alias("s")), "sets")
-    links: DataFrame | None = None
-    done: DataFrame | None = None
-    while not live.isEmpty():
-        lead = live.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("high")).where("lead < high").select("bucket", "lead")
-        tried = materialize(live.join(lead, "bucket").where("id > lead").select("bucket", "id", "lead"), "tried")
-        pairs = tried.select("id", "lead").distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("id", "lead"), ["id", "lead"], "left_anti")
-        checked = pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("s").alias("t")), "lead").select("id", "lead", passes("s", "t").alias("ok"))
-        checked = materialize(checked, "checked")
-        old = done
-        done = checked if old is None else materialize(old.unionByName(checked), "done")
-        nxt = materialize(tried.join(done.where("not ok").select("id", "lead"), ["id", "lead"]).select("id", "bucket"), "buckets")
-        for t in (tried, live, old):
-            drop_table(t)
-        live = nxt
-    links = done.where("ok").select("id", "lead") if done is not None else None
-    if links is None:
-        linked = member.select(F.col("copy_of").alias("node"), F.col("copy_of").alias("component")).limit(0)
-        degree = linked.select("node", F.lit(0).cast("long").alias("n_links"))
-    else:
-        linked = materialize(connected_components(links.select(F.col("id").alias("a"), F.col("lead").alias("b"))), "classes")
-        ends = links.select(F.explode(F.array("id", "lead")).alias("node"))
-        degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    # every member against its bucket's leader
+    lead = live.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.n").alias("m"))
+    pairs = live.join(lead, "bucket").where("id > lead").where(_sizes_fit("n", "m")).select("id", "lead").distinct()
+    checked = materialize(_check(pairs, sets), "checked")
+    linked = materialize(connected_components(_edges(checked)), "classes")
+    # what lies in one bucket and in several components yet: all such pairs of different components
+    label = live.join(linked.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+    label = materialize(label, "labels")
+    split = label.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    label2 = label.join(split, "bucket")
+    other = label2.select("bucket", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("c").alias("d"))
+    cross = label2.join(other, "bucket").where("id > lead and c <> d").where(_sizes_fit("n", "m")).select("id", "lead").distinct()
+    cross = cross.join(checked.select("id", "lead"), ["id", "lead"], "left_anti")
+    more = materialize(_check(cross, sets), "checked")
+    links = checked.unionByName(more).where("ok").select("id", "lead")
+    if not more.where("ok").isEmpty():
+        drop_table(linked)
+        linked = materialize(connected_components(_edges(checked.unionByName(more))), "classes")
+    degree = links.select(F.explode(F.array("id", "lead")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    for t in (live, near, sets, label):
+        drop_table(t)
     out = member.join(linked.join(degree, "node", "left"), member.copy_of == F.col("node"), "left")
     sizes = sketch.groupBy(F.col("id").alias("doc_id")).agg(F.min("n_shingles").alias("n_shingles"))
     return out.join(sizes, "doc_id", "left").select(
