@@ -39,7 +39,9 @@ from linkloom.llm.common import small_batches, table
 ORDER, SPAN, DECAY = 3, 7, 0.75
 #: Longest unit; longer words are cut into pieces that overlap by half.
 UNIT = 16
-LANDMARKS, CONTRAST = 176, 24
+LANDMARKS = 200
+#: Log-likelihood gain below which a unit's lead in toxic texts may be chance.
+LEAST_GAIN = 4.0
 POWERS = (5, 16)
 #: A kernel below this counts as none.
 FLOOR = 0.55
@@ -231,7 +233,7 @@ class Model:
 
 
 def choose_landmarks(texts: list[str | None], y: np.ndarray) -> list[str]:
-    """Units that toxic texts have more often than clean ones, by signed likelihood ratio, and common clean ones."""
+    """Units that toxic texts have more often than clean ones, by likelihood ratio."""
     toxic, clean = Counter(), Counter()
     for t, label in zip(texts, y):
         units = set(chain.from_iterable(map(units_of_word, set(words_of(t)))))
@@ -239,9 +241,8 @@ def choose_landmarks(texts: list[str | None], y: np.ndarray) -> list[str]:
     nt, nc = int(y.sum()) + 1, int((1 - y).sum()) + 1
     gain = lambda u: toxic[u] * math.log((toxic[u] / nt) / ((toxic[u] + clean[u]) / (nt + nc)))
     ranked = sorted((u for u in toxic if toxic[u] / nt > clean[u] / nc), key=lambda u: (-gain(u), u))[:LANDMARKS]
-    taken = set(ranked)
-    common = [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if u not in taken and len(u) >= 4][:CONTRAST]
-    return ranked + common
+    sure = [u for u in ranked if gain(u) >= LEAST_GAIN]
+    return sure if len(sure) >= 10 else ranked[:10]
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -291,15 +292,16 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     """Train on labelled texts; every fifth text calibrates.
 
     Some toxic texts come once more with padded landmark words, so that the
-    machine learns to weigh the lenient kernel too.
+    machine learns to weigh the lenient kernel too; empty texts count as clean.
     """
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(None)
     marks = Landmarks(choose_landmarks(texts, y))
-    bad = set(marks.units[: len(marks.units) - CONTRAST])
+    bad = set(marks.units)
     more = [padded(t, bad, k) for k, (t, label) in enumerate(zip(texts, labels)) if label and t and k % 5][:PADDED]
-    texts, y = [*texts, *more], np.concatenate([y, np.ones(len(more), np.int64)])
+    empty = int((y == 0).sum()) // 20 + 1
+    texts, y = [*texts, *more, *[""] * empty], np.concatenate([y, np.ones(len(more), np.int64), np.zeros(empty, np.int64)])
     largest = Scorer(marks).largest(texts)
     own = Scorer(marks).largest(marks.units).astype(np.float64)
     own = (own + own.T) / 2
