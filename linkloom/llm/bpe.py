@@ -7,7 +7,8 @@ Decoding puts the strings of the vocabulary one after another, with the
 tokenizer file's separator (a space where the file has no decoder).
 
 Defined cases: a null text is the empty text, which has no ids and decodes to
-the empty string; repeated rows are encoded alike; extra columns stay.
+the empty string; repeated rows are encoded alike; extra columns stay. What is
+a letter goes by the regex module's Unicode tables.
 """
 
 from __future__ import annotations

@@ -102,7 +102,7 @@ _CUES = {
 }
 _FEATURES = [
     "bias", "len<6", "len<12", "len<20", "len<33", "len<65", "len>64", "hex", "mixed", "turns4", "digits", "nd9-15", "nd12-19", "luhn", "plus", "at", "at_domain", "octets", "octet_range",
-    "space", "quoted", "left_open", "right_open", "words", "marks", "phone_shape", "card_shape", "dots", "upper", "edge_mark", *(f"cue_{k}" for k in KINDS),
+    "space", "quoted", "left_open", "right_open", "words", "marks", "phone_shape", "card_shape", "dots", "upper", "edge_mark", "unbalanced", *(f"cue_{k}" for k in KINDS),
 ]
 _ID = {f: i for i, f in enumerate(_FEATURES)}
 _HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
@@ -169,6 +169,8 @@ def span_features(text: str, start: int, end: int) -> list[int]:
         add("upper")
     if not s[-1].isalnum() or not (s[0].isalnum() or s[0] in "+("):
         add("edge_mark")
+    if s.count("(") != s.count(")"):
+        add("unbalanced")
     before = re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())[-2:]
     for kind, words in _CUES.items():
         if any(w in words for w in before):
