@@ -302,7 +302,8 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     more = [padded(t, bad, k) for k, (t, label) in enumerate(zip(texts, labels)) if label and t and k % 5][:PADDED]
     empty = int((y == 0).sum()) // 20 + 1
     texts, y = [*texts, *more, *[""] * empty], np.concatenate([y, np.ones(len(more), np.int64), np.zeros(empty, np.int64)])
-    largest = Scorer(marks).largest(texts)
+    scorer = Scorer(marks)
+    largest = np.concatenate([scorer.largest(texts[k : k + 256]) for k in range(0, len(texts), 256)])  # a few texts' words at once
     own = Scorer(marks).largest(marks.units).astype(np.float64)
     own = (own + own.T) / 2
     np.fill_diagonal(own, 1)
