@@ -38,7 +38,7 @@ MAGIC = b"LLBITPL1"
 BLOCK, CHUNK = 4096, 1 << 18
 END_ID = 2
 #: Words of each of two generations that a Python worker remembers: bounds its memory.
-MEMORY_WORDS = 350_000
+MEMORY_WORDS = 600_000
 
 _ODD = re.compile(r"[\x1c-\x1f]")
 
