@@ -7,9 +7,9 @@ partition's largest size turn the containment into a Jaccard threshold, for
 which every partition tunes its own bands and rows. A document is indexed in
 its own partition and queries that one and the next larger.
 
-Equal texts collapse first, to the least doc_id. The members of a bucket are
-checked, exactly, against its leader, which joins copies by as many checks as
-there are members. Only where a bucket still holds several components of the
+Equal texts collapse first, to the least doc_id. In ``LEADER_ROUNDS`` rounds
+every document is checked, exactly, against one leader of its buckets, which
+joins copies by as many checks as there are documents. Only where a bucket still holds several components of the
 links found are pairs of different components checked too, all of them, so no
 link that would join two classes is lost. Classes are the connected components
 of the links that passed.
@@ -37,6 +37,8 @@ from linkloom.llm.substrings import Rolling
 from linkloom.plans.tables import drop_table, materialize
 
 SHINGLE, CONTAINMENT, RATIO = 3, 0.75, 1.2
+#: Rounds in which a document is checked against one leader.
+LEADER_ROUNDS = 2
 #: Hash functions of a signature; least chance that a pair at the threshold meets in a bucket.
 HASHES, LEAST_CHANCE = 160, 0.94
 
@@ -74,12 +76,14 @@ def partitions(largest: int, ratio: float = RATIO) -> np.ndarray:
 _ENDS = partitions(1 << 40)
 
 
-def bandings(containment: float = CONTAINMENT) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """By partition: (bands, rows) for queries from the same partition, and from the one below."""
+def bandings(containment: float = CONTAINMENT) -> list[tuple[int, int]]:
+    """By partition: (bands, rows) for queries from the same partition and from the one below."""
     low = np.concatenate([[1], _ENDS[:-1] + 1])
-    own = [tune(jaccard_threshold(containment, l, u)) for l, u in zip(low, _ENDS)]
-    below = [tune(1.0)] + [tune(jaccard_threshold(containment, max(low[k - 1], u / RATIO), u)) for k, u in enumerate(_ENDS) if k]
-    return own, below
+    out = []
+    for k, u in enumerate(_ENDS):
+        query = max(low[max(0, k - 1)], u / RATIO)  # a smaller one is no copy of the largest
+        out.append(tune(jaccard_threshold(containment, query, u)))
+    return out
 
 
 def shingles(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -118,17 +122,17 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def band_hashes(sig: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """For each document the hashes of all buckets it is in, as 64-bit integers."""
-    own, below = bandings()
+    banding = bandings()
     part = np.searchsorted(_ENDS, sizes)
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(sizes)
     for p in np.unique(part[sizes > 0]):
         rows = np.flatnonzero((part == p) & (sizes > 0))
         made = []
-        # its own partition, as one that is indexed and asks; then buckets between neighbours
-        for place, (bands, r), kind in ((p, own[p], 0), (p, below[p], 1), (p + 1, below[p + 1], 1)):
+        # in its own partition it is indexed and asks; in the next one it asks
+        for place in (p, p + 1):
+            bands, r = banding[place]
             for b in range(bands):
-                h = np.full(len(rows), (int(place) << 20) + (b << 2) + kind, np.uint64)
-                h = mix(h)
+                h = mix(np.full(len(rows), (int(place) << 20) + b, np.uint64))
                 for k in range(b * r, b * r + r):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[rows, k])
                 made.append(h.view(np.int64))
@@ -173,6 +177,13 @@ def _sizes_fit(n: str, m: str) -> F.Column:
     return F.greatest(n, m) <= F.floor(F.least(n, m) * RATIO + 1e-9)
 
 
+def _labelled(live: DataFrame, linked: DataFrame | None) -> DataFrame:
+    """(bucket, id, n, c): rows of buckets with their component so far, at first the row itself."""
+    if linked is None:
+        return live.select("bucket", "id", "n", F.col("id").alias("c"))
+    return live.join(linked.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+
+
 def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, lead, ok): the exact test of candidate pairs."""
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("s").alias("t")), "lead")
@@ -199,35 +210,51 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = one.select(F.col("doc_id").alias("id"), F.lower("text").alias("text")).where("text is not null")
     sketch = materialize(_sketch(texts), "sketch")
     reps = sketch.join(member.where("not blank and doc_id = copy_of").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    rows = reps.select("id", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
+    rows = reps.select("id", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     live = materialize(rows.join(shared, "bucket"), "buckets")
+    sizes = materialize(sketch.groupBy("id").agg(F.min("n_shingles").alias("n")), "sizes")
+    drop_table(sketch)
     near = materialize(live.select("id").distinct(), "near")
     sets = materialize(_sets(texts.join(near, "id", "left_semi")).groupBy("id").agg(F.min("s").alias("s")), "sets")
-    # every member against its bucket's leader
-    lead = live.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.n").alias("m"))
-    pairs = live.join(lead, "bucket").where("id > lead").where(_sizes_fit("n", "m")).select("id", "lead").distinct()
-    checked = materialize(_check(pairs, sets), "checked")
-    linked = materialize(connected_components(_edges(checked)), "classes")
+    live0 = live
+    live = materialize(live.join(sizes.join(near, "id", "left_semi"), "id"), "buckets")
+    drop_table(live0)
+    checked = None
+    linked = None
+    # each member against the leader of one of its buckets at a time, as long as the leader is of another component
+    for _ in range(LEADER_ROUNDS):
+        label = _labelled(live, linked)
+        lead = label.groupBy("bucket").agg(F.min(F.struct("id", "n", "c")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.n").alias("m"), F.col("l.c").alias("d"))
+        pairs = label.join(lead, "bucket").where("id > lead and c <> d").where(_sizes_fit("n", "m")).select("id", "lead").distinct()
+        if checked is not None:
+            pairs = pairs.join(checked.select("id", "lead"), ["id", "lead"], "left_anti")
+        fresh = materialize(_check(pairs.groupBy("id").agg(F.min("lead").alias("lead")), sets), "checked")
+        if fresh.isEmpty():
+            break
+        checked = fresh if checked is None else checked.unionByName(fresh)
+        if not fresh.where("ok").isEmpty():
+            drop_table(linked)
+            linked = materialize(connected_components(_edges(checked)), "classes")
     # what lies in one bucket and in several components yet: all such pairs of different components
-    label = live.join(linked.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
-    label = materialize(label, "labels")
+    label = materialize(_labelled(live, linked), "labels")
     split = label.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
     label2 = label.join(split, "bucket")
     other = label2.select("bucket", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("c").alias("d"))
     cross = label2.join(other, "bucket").where("id > lead and c <> d").where(_sizes_fit("n", "m")).select("id", "lead").distinct()
-    cross = cross.join(checked.select("id", "lead"), ["id", "lead"], "left_anti")
+    if checked is not None:
+        cross = cross.join(checked.select("id", "lead"), ["id", "lead"], "left_anti")
     more = materialize(_check(cross, sets), "checked")
-    links = checked.unionByName(more).where("ok").select("id", "lead")
-    if not more.where("ok").isEmpty():
+    checked = more if checked is None else checked.unionByName(more)
+    if linked is None or not more.where("ok").isEmpty():
         drop_table(linked)
-        linked = materialize(connected_components(_edges(checked.unionByName(more))), "classes")
+        linked = materialize(connected_components(_edges(checked)), "classes")
+    links = checked.where("ok").select("id", "lead")
     degree = links.select(F.explode(F.array("id", "lead")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     for t in (live, near, sets, label):
         drop_table(t)
     out = member.join(linked.join(degree, "node", "left"), member.copy_of == F.col("node"), "left")
-    sizes = sketch.groupBy(F.col("id").alias("doc_id")).agg(F.min("n_shingles").alias("n_shingles"))
-    return out.join(sizes, "doc_id", "left").select(
+    return out.join(sizes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")), "doc_id", "left").select(
         "doc_id", F.coalesce("component", "copy_of").alias("class_id"), "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles")
     )
 
