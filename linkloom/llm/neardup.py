@@ -1,11 +1,15 @@
 """MinHash near-dedup by a containment ensemble (operator 4).
 
 Two texts are near copies if the smaller shingle set is contained in the
-larger one by ``CONTAINMENT`` at least, and the larger has at most ``RATIO``
-times its shingles. Documents are partitioned by set size; a query size and a
-partition's largest size turn the containment into a Jaccard threshold, for
-which every partition tunes its own bands and rows. A document is indexed in
-its own partition and queries that one and the next larger.
+larger one by ``CONTAINMENT`` at least, whatever the larger's size; a smaller
+set of under ``LEAST_SHINGLES`` (a licence line, say, that unrelated texts
+quote) also needs a Jaccard similarity of ``SHORT_JACCARD``. Documents are
+partitioned by set size; a query size and a partition's largest size turn the
+containment into a Jaccard threshold, for which every partition tunes its own
+bands and rows. A document is indexed in its own partition and queries that
+one and the next larger by bands. In all larger ones a band would have one row
+and be of little use; there it asks by its rarest shingles of a hash sample
+(short texts: of all shingles), which any text that contains it shares.
 
 Equal texts collapse first, to the least doc_id. In ``LEADER_ROUNDS`` rounds
 every document is checked, exactly, against one leader of its buckets, which
@@ -34,9 +38,14 @@ from linkloom.llm.blocks import PIECE_BYTES
 from linkloom.llm.common import batches_of, mix, small_batches, table, text_bytes, word_hashes, word_spans
 from linkloom.llm.components import connected_components
 from linkloom.llm.substrings import Rolling
-from linkloom.plans.tables import drop_table, materialize
+from linkloom.plans.tables import drop_table, materialize, release
 
+#: RATIO: growth of the size partitions, up to which bands find a pair.
 SHINGLE, CONTAINMENT, RATIO = 3, 0.75, 1.2
+#: From so many shingles on containment alone counts; below, the Jaccard similarity too.
+LEAST_SHINGLES, SHORT_JACCARD = 32, 0.4
+#: Most times its shingles that a near copy of a text below LEAST_SHINGLES can have; one in so many shingles is sampled.
+SHORT_RATIO, SAMPLE_OF = 1 / SHORT_JACCARD, 8
 #: Rounds in which a document is checked against one leader.
 LEADER_ROUNDS = 2
 #: Hash functions of a signature; least chance that a pair at the threshold meets in a bucket.
@@ -142,8 +151,21 @@ def band_hashes(sig: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def samples(values: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """By document: a hash sample of the shingles where there are LEAST_SHINGLES, and all shingles of
+    texts that can be a near copy of a shorter one. The two never share a value."""
+    sizes = np.diff(offsets)
+    n = np.repeat(sizes, sizes)
+    h = mix(values)
+    out = []
+    for low, keep in ((0, (n >= LEAST_SHINGLES) & ((h >> np.uint64(32)) % np.uint64(SAMPLE_OF) == 0)), (1, n <= LEAST_SHINGLES * SHORT_RATIO)):
+        at = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((h[keep] & ~np.uint64(1) | np.uint64(low)).view(np.int64))))
+    return out[0], out[1]
+
+
 def _sketch(docs: DataFrame) -> DataFrame:
-    """id, n_shingles and bucket hashes of each (id, text)."""
+    """id, n_shingles, bucket hashes and samples of each (id, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches_of(it, PIECE_BYTES, "text"):
@@ -151,10 +173,44 @@ def _sketch(docs: DataFrame) -> DataFrame:
             sizes = np.diff(offsets)
             buckets = band_hashes(signatures(values, offsets), sizes)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "n_shingles", "buckets"]
+                [rows.column("id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), *samples(values, offsets)], names=["id", "n_shingles", "buckets", "sampled", "short"]
             )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, buckets array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, buckets array<long>, sampled array<long>, short array<long>")
+
+
+def _wide_pairs(reps: DataFrame) -> DataFrame:
+    """(id, lead): candidate pairs further apart in size than bands look, the smaller text first.
+
+    Of a contained text at most a share 1 - CONTAINMENT of the shingles is
+    missing in the other, so among its rarest shingles, a few more than that
+    share of them, one at least is in both. Shingles of one text only count
+    as the rarest and need no look-up.
+    """
+    rows = reps.select("id", F.explode(F.concat("sampled", "short")).alias("h")).repartition("h")
+    # least and greatest id, so that both sides of the join read one exchange
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "f")
+    seen = materialize(rows.join(often, "h"), "seen")
+    sizes = reps.select("id", F.col("n_shingles").alias("n"), F.size("sampled").alias("k0"), F.size("short").alias("k1"))
+    shared = materialize(seen.join(sizes, "id").select("h", "f", "id", "n", F.when(F.expr("h & 1 = 0"), F.col("k0")).otherwise(F.col("k1")).alias("k")), "shared")
+    drop_table(seen)
+    asking = shared.where(f"h & 1 = 0 or n < {LEAST_SHINGLES}")
+    own = asking.groupBy("id", "n", "k", F.col("h").bitwiseAND(F.lit(1)).alias("short")).agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
+    # the sample's share of missing shingles strays from the text's
+    most = F.ceil(F.col("k") * 1.6 * (1 - CONTAINMENT)) + 2 - (F.col("k") - F.size("s"))
+    asks = own.withColumn("most", most.cast("int")).where("most > 0").select(F.col("id").alias("a"), F.col("n").alias("m"), F.explode(F.slice("s", 1, F.col("most"))).alias("x")).select("a", "m", F.col("x.h").alias("h"))
+    met = asks.join(shared.select("h", "id", "n"), "h").where("a <> id").where(~_in_bands("m", "n") & _sizes_fit("m", "n") & (F.col("n") > F.col("m")))
+    pairs = materialize(met.select("a", "id").distinct(), "wide")
+    drop_table(shared)
+    # the samples, an eighth of the shingles, leave few pairs for the exact test; two deviations below the expected share stay
+    own = reps.groupBy("id").agg(F.min(F.struct("n_shingles", "sampled", "short")).alias("s"))
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("t")), "a").join(own, "id")
+    use = lambda c: F.when(F.col("t.n_shingles") < LEAST_SHINGLES, F.col(f"{c}.short")).otherwise(F.col(f"{c}.sampled"))
+    tried = both.select("a", "id", F.size(use("t")).alias("k"), F.size(F.array_intersect(use("t"), use("s"))).alias("common"))
+    likely = tried.where(F.col("common") >= F.col("k") * CONTAINMENT - 2 * F.sqrt(F.col("k") * CONTAINMENT * (1 - CONTAINMENT)))
+    out = materialize(likely.select(F.col("a").alias("id"), F.col("id").alias("lead")), "wide")
+    drop_table(pairs)
+    return out
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -170,10 +226,18 @@ def _sets(docs: DataFrame) -> DataFrame:
 def passes(a: str, b: str) -> F.Column:
     """Whether the shingle sets in columns a and b are near copies."""
     lo, hi = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    return (hi <= F.floor(lo * RATIO + 1e-9)) & (F.size(F.array_intersect(a, b)) >= lo * CONTAINMENT - 1e-9)
+    both = F.size(F.array_intersect(a, b))
+    return (both >= lo * CONTAINMENT - 1e-9) & ((lo >= LEAST_SHINGLES) | (both >= (lo + hi - both) * SHORT_JACCARD - 1e-9))
 
 
 def _sizes_fit(n: str, m: str) -> F.Column:
+    """Whether sets of these sizes can be near copies."""
+    lo, hi = F.least(n, m), F.greatest(n, m)
+    return (lo >= LEAST_SHINGLES) | (hi <= lo * SHORT_RATIO + 1e-9)
+
+
+def _in_bands(n: str, m: str) -> F.Column:
+    """Whether sets of these sizes lie so near that bands find their pair."""
     return F.greatest(n, m) <= F.floor(F.least(n, m) * RATIO + 1e-9)
 
 
@@ -213,23 +277,28 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = reps.select("id", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     live = materialize(rows.join(shared, "bucket"), "buckets")
+    wide = _wide_pairs(reps)
+    release(docs.sparkSession)
     sizes = materialize(sketch.groupBy("id").agg(F.min("n_shingles").alias("n")), "sizes")
     drop_table(sketch)
-    near = materialize(live.select("id").distinct(), "near")
+    near = materialize(live.select("id").unionByName(wide.select(F.explode(F.array("id", "lead")).alias("id"))).distinct(), "near")
     sets = materialize(_sets(texts.join(near, "id", "left_semi")).groupBy("id").agg(F.min("s").alias("s")), "sets")
     live0 = live
     live = materialize(live.join(sizes.join(near, "id", "left_semi"), "id"), "buckets")
     drop_table(live0)
+    release(docs.sparkSession)
     checked = None
     linked = None
-    # each member against the leader of one of its buckets at a time, as long as the leader is of another component
+    # pairs far apart in size, and each member against the leader of one of its buckets at a time, as long as the leader is of another component
     for _ in range(LEADER_ROUNDS):
         label = _labelled(live, linked)
         lead = label.groupBy("bucket").agg(F.min(F.struct("id", "n", "c")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.n").alias("m"), F.col("l.c").alias("d"))
-        pairs = label.join(lead, "bucket").where("id > lead and c <> d").where(_sizes_fit("n", "m")).select("id", "lead").distinct()
+        pairs = label.join(lead, "bucket").where("id > lead and c <> d").where(_in_bands("n", "m")).select("id", "lead").distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("id", "lead"), ["id", "lead"], "left_anti")
-        fresh = materialize(_check(pairs.groupBy("id").agg(F.min("lead").alias("lead")), sets), "checked")
+        pairs = pairs.groupBy("id").agg(F.min("lead").alias("lead"))
+        fresh = materialize(_check(pairs if checked is not None else pairs.unionByName(wide).distinct(), sets), "checked")
+        release(docs.sparkSession)
         if fresh.isEmpty():
             break
         checked = fresh if checked is None else checked.unionByName(fresh)
@@ -241,7 +310,7 @@ def classes(docs: DataFrame) -> DataFrame:
     split = label.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
     label2 = label.join(split, "bucket")
     other = label2.select("bucket", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("c").alias("d"))
-    cross = label2.join(other, "bucket").where("id > lead and c <> d").where(_sizes_fit("n", "m")).select("id", "lead").distinct()
+    cross = label2.join(other, "bucket").where("id > lead and c <> d").where(_in_bands("n", "m")).select("id", "lead").distinct()
     if checked is not None:
         cross = cross.join(checked.select("id", "lead"), ["id", "lead"], "left_anti")
     more = materialize(_check(cross, sets), "checked")
@@ -251,7 +320,7 @@ def classes(docs: DataFrame) -> DataFrame:
         linked = materialize(connected_components(_edges(checked)), "classes")
     links = checked.where("ok").select("id", "lead")
     degree = links.select(F.explode(F.array("id", "lead")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    for t in (live, near, sets, label):
+    for t in (live, near, sets, label, wide):
         drop_table(t)
     out = member.join(linked.join(degree, "node", "left"), member.copy_of == F.col("node"), "left")
     return out.join(sizes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")), "doc_id", "left").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,12 @@ def drop_table(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps that are over; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def with_position(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     """Append the 0-based rank of each row in the total order ``order``.
 

@@ -194,6 +194,19 @@ def test_near_dedup_against_all_pairs(spark):
     assert got == {k: find(k) for k in sets}
 
 
+def test_near_copies_with_added_lines(spark):
+    """Contained texts are found in much longer ones; a short line that unrelated texts quote ties nothing."""
+    line = " ".join(prose(12, 700).split())
+    data = []
+    for g in range(30):
+        base = prose(60 + g, 710 + g)
+        data += [(g * 10, base), (g * 10 + 1, prose(9, 750 + g) + "\n" + base + "\n" + prose(9, 790 + g)), (g * 10 + 2, prose(200 + 50 * g, 830 + g) + "\n" + base + "\n" + prose(400, 870 + g))]
+    short = prose(14, 701)
+    data += [(400, short), (401, prose(5, 702) + "\n" + short + "\n" + prose(5, 703)), (402, line), (403, prose(80, 704) + "\n" + line), (404, prose(90, 705) + "\n" + line)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {k: {401: 400}.get(k, k if k >= 400 else k // 10 * 10) for k, _ in data}
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 430)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
