@@ -16,7 +16,8 @@ every document is checked, exactly, against one leader of its buckets, which
 joins copies by as many checks as there are documents. Only where a bucket still holds several components of the
 links found are pairs of different components checked too, all of them, so no
 link that would join two classes is lost. Classes are the connected components
-of the links that passed.
+of the links that passed. As any link lies in one class, the links are then
+counted exactly by checking all pairs of a class, block by block.
 
 Defined cases: null texts are never copies of anything; texts without words
 are copies only of equal texts; texts below ``SHINGLE`` words have one
@@ -46,6 +47,8 @@ SHINGLE, CONTAINMENT, RATIO = 3, 0.75, 1.2
 LEAST_SHINGLES, SHORT_JACCARD = 32, 0.4
 #: Most times its shingles that a near copy of a text below LEAST_SHINGLES can have; one in so many shingles is sampled.
 SHORT_RATIO, SAMPLE_OF = 1 / SHORT_JACCARD, 8
+#: Members of a class that are compared with as many others at a time, and shingles of them at a time.
+LINK_BLOCK, LINK_CHUNK = 64, 1 << 14
 #: Rounds in which a document is checked against one leader.
 LEADER_ROUNDS = 2
 #: Hash functions of a signature; least chance that a pair at the threshold meets in a bucket.
@@ -258,12 +261,67 @@ def _edges(checked: DataFrame) -> DataFrame:
     return checked.where("ok").select(F.col("id").alias("a"), F.col("lead").alias("b"))
 
 
+def linked_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Booleans: which of the sets a are near copies of which of the sets b, in chunks of shingles."""
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    both = np.zeros((len(a), len(b)))
+    left, right = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(left, right)
+    rows = []
+    for x, sizes in ((left, n), (right, m)):
+        at = np.searchsorted(common, x)
+        at[at == len(common)] = 0
+        hit = np.flatnonzero(common[at] == x) if len(common) else np.empty(0, np.int64)
+        rows.append((np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]))
+    for low in range(0, len(common), LINK_CHUNK):
+        parts = []
+        for (doc, at), sizes in zip(rows, (n, m)):
+            here = (at >= low) & (at < low + LINK_CHUNK)
+            part = np.zeros((len(sizes), min(LINK_CHUNK, len(common) - low)), np.float32)
+            part[doc[here], at[here] - low] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    lo, hi = np.minimum(n[:, None], m), np.maximum(n[:, None], m)
+    return (both >= lo * CONTAINMENT - 1e-9) & ((lo >= LEAST_SHINGLES) | (both >= (lo + hi - both) * SHORT_JACCARD - 1e-9))
+
+
+def count_links(linked: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n_links): the near copies of each member of a class (node, component) among all its members.
+
+    A class is cut into blocks of about ``LINK_BLOCK`` members; each pair of blocks is one small group.
+    """
+    size = linked.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.count(F.lit(1)) / LINK_BLOCK).cast("int").alias("blocks"))
+    two = linked.join(size.where("members = 2"), "component").select("node", F.lit(1).cast("long").alias("n"))  # what joins them is their one link
+    size = size.where("members > 2")
+    member = linked.join(size, "component").select("component", F.col("node").alias("id"), "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("at"))
+    # a block meets every block, so each pair of blocks comes once, as (lower, higher)
+    spread = member.select("component", "id", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("component", "id", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, at, i, j = group.column("id").to_numpy(), group.column("at").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        s = [x.values.to_numpy() for x in group.column("s")]
+        a, b = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        n = np.zeros(len(ids), np.int64)
+        if len(a) and len(b):
+            ok = linked_pairs([s[k] for k in a], [s[k] for k in b])
+            if i == j:
+                np.fill_diagonal(ok, False)
+                n[a] = ok.sum(axis=1)
+            else:
+                n[a], n[b] = ok.sum(axis=1), ok.sum(axis=0)
+        return pa.table({"node": ids, "n": n})
+
+    counted = spread.join(sets, "id").select("component", "i", "j", "id", "at", "s").groupBy("component", "i", "j").applyInArrow(run, "node long, n long")
+    return counted.unionByName(two).groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, copy_of, n_copies, n_links, n_shingles: a row per doc_id.
 
     ``class_id``: the least doc_id of the class. ``copy_of``: the least doc_id
     with the same text; ``n_copies``: documents with that text. ``n_links``:
-    other texts that the text was found a near copy of while classes formed.
+    other texts of the class that the text is a near copy of.
     """
     one = docs.select("doc_id", "text").where("doc_id is not null")
     keyed = one.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).groupBy("doc_id").agg(F.min("key").alias("key"))
@@ -318,8 +376,8 @@ def classes(docs: DataFrame) -> DataFrame:
     if linked is None or not more.where("ok").isEmpty():
         drop_table(linked)
         linked = materialize(connected_components(_edges(checked)), "classes")
-    links = checked.where("ok").select("id", "lead")
-    degree = links.select(F.explode(F.array("id", "lead")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    release(docs.sparkSession)
+    degree = materialize(count_links(linked, sets), "links")
     for t in (live, near, sets, label, wide):
         drop_table(t)
     out = member.join(linked.join(degree, "node", "left"), member.copy_of == F.col("node"), "left")

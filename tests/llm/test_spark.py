@@ -207,6 +207,25 @@ def test_near_copies_with_added_lines(spark):
     assert got == {k: {401: 400}.get(k, k if k >= 400 else k // 10 * 10) for k, _ in data}
 
 
+def test_links_of_large_classes_are_counted(spark):
+    r = random.Random(31)
+    base = prose(90, 900).split()
+    data = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(r.randint(1, 5)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        data.append((k, " ".join(w[: r.randint(75, 90)])))
+    text = {}
+    for k, t in data:
+        text.setdefault(t, k)
+    sets = {k: (lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)})(brute_windows(t)) for t, k in text.items()}
+    want = {a: sum(a != b and len(sets[a] & sets[b]) >= min(len(sets[a]), len(sets[b])) * neardup.CONTAINMENT - 1e-9 for b in sets) for a in sets}
+    got = {x["doc_id"]: x for x in neardup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {k: got[k]["n_links"] for k in sets} == want and max(want.values()) > 100
+    assert {k: got[k]["class_id"] for k in sets} == {k: 0 for k in sets}
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 430)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
