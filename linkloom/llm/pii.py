@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field (operator 9).
 
 Base kinds (email, ip, card, phone) are found by fixed patterns and always
-stay. Around the rest of each stretch that has a digit or an at sign, units
+stay. In the rest of each stretch around digits and at signs (also [at], [dot]), units
 (letter-digit runs and single marks) form a lattice: every run of up to
 ``SPAN_UNITS`` units is a candidate segment of every kind, features of the
 whole span score it, and dynamic programming picks boundaries and kinds
@@ -44,7 +44,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SIGN = re.compile(r"[0-9@]")
+_SIGN = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]")
+_TOKEN = re.compile(r"\S+")
 _SPACE = re.compile(r"\s")
 _UNIT = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 
@@ -109,7 +110,7 @@ _HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 _TURN = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 _FOUR = re.compile(r"[0-9]{1,4}(?:\.[0-9]{1,4}){3}\Z")
 _MAIL = re.compile(r"[\w.%+-]+ ?(?:@|[\[(]at[\])]) ?[\w-]+(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]+)+\Z")
-_CALL = re.compile(r"\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}\Z")
+_CALL = re.compile(r"\(?[0-9]{2,4}\)?(?: - |[ .-])?[0-9]{3,4}(?: - |[ .-])[0-9]{3,4}\Z")
 _FOURS = re.compile(r"[0-9]{4}(?:[ .-][0-9]{4}){2,3}\Z")
 
 
@@ -268,18 +269,18 @@ def training_sentences(n: int = 260, seed: int = 5) -> list[tuple[str, list[tupl
         if k == "secret":
             return secret()
         if k == "email":
-            return r.choice(["mail ", "", "contact "]), f"{r.choice(words)}{number(2)}{r.choice(['@', ' [at] ', ' (at) '])}{r.choice(words)}{r.choice(['.', ' [dot] '])}{r.choice(['org', 'com'])}", "", k
+            return r.choice(["mail ", "", "contact "]), f"{r.choice(words)}{number(r.choice([0, 2]))}{r.choice(['@', ' [at] ', ' (at) '])}{r.choice(words)}{r.choice(['.', ' [dot] '])}{r.choice(['org', 'com'])}", "", k
         if k == "ip":
             return r.choice(["", "host "]), ".".join(str(r.randint(1, 255)) for _ in range(4)), "", k
         if k == "card":
             c = card()
             return r.choice(["", "card "]), c if r.random() < 0.5 else r.choice(" .-").join(c[i : i + 4] for i in range(0, 16, 4)), "", k
-        return r.choice(["tel ", "phone ", "call "]), r.choice([f"+1 ({number(3)}) {number(3)}-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}"]), "", k
+        return r.choice(["tel ", "phone ", "call "]), r.choice([f"+1 ({number(3)}) {number(3)}-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}{(dash := r.choice(['-', ' - ']))}{number(3)}{dash}{number(4)}"]), "", k
 
     def decoy() -> str:
         return r.choice([
             f"version {r.randint(1, 9)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}", f"{r.randint(1, 31)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", number(r.randint(1, 8)), f"{r.choice(words)}{r.randint(1, 99)}",
-            f"CC BY {r.randint(1, 4)}.0", f"{number(3)},{number(3)}", f"https://{r.choice(words)}.com/{number(5)}", hexes(r.randint(4, 9)) + "1", f"{r.randint(300, 999)}.{number(3)}.{number(3)}.{number(3)}", f"@{r.choice(words)}", f"{number(2)}:{number(2)}", f"{number(16)}0", mixed(6) + "7", f"{number(4)}-{number(2)}-{number(2)}",
+            f"CC BY {r.randint(1, 4)}.0", f"{number(3)},{number(3)}", f"https://{r.choice(words)}.com/{number(5)}", hexes(r.randint(4, 9)) + "1", f"{r.randint(300, 999)}.{number(3)}.{number(3)}.{number(3)}", f"@{r.choice(words)}", f"{r.choice(words)} (at) {r.choice(words)}", f"{number(2)}:{number(2)}", f"{number(16)}0", mixed(6) + "7", f"{number(4)}-{number(2)}-{number(2)}",
         ])
 
     out = []
@@ -303,6 +304,7 @@ def train(epochs: int = 30, rate: float = 0.3, l2: float = 0.02) -> np.ndarray:
     """Weights (features x kinds) by adaptive gradient ascent on the conditional log-likelihood."""
     data = []
     for text, spans in training_sentences():
+        missed = set(spans)
         for units in stretches(text, []):
             segs, x = lattice(text, units)
             gold = np.zeros((len(segs), len(KINDS)))
@@ -310,7 +312,10 @@ def train(epochs: int = 30, rate: float = 0.3, l2: float = 0.02) -> np.ndarray:
             for a, b, kind in spans:
                 if (k := place.get((a, b))) is not None:
                     gold[k, _ORDER[kind]] = 1
+                    missed.discard((a, b, kind))
             data.append((len(units), segs, x, x.T @ gold))
+        if missed:
+            raise ValueError(f"no candidate segment for {sorted(missed)} in {text!r}")
     w = np.zeros((len(_FEATURES), len(KINDS)))
     w[0] = -3
     seen = np.full_like(w, 1e-6)
@@ -326,10 +331,11 @@ def train(epochs: int = 30, rate: float = 0.3, l2: float = 0.02) -> np.ndarray:
 
 
 def stretches(text: str, taken: list[tuple[int, int, str]]) -> list[list[tuple[int, int]]]:
-    """Units of each stretch of white-space separated tokens that have a digit or an at sign.
+    """Units of each stretch of white-space separated tokens that have a digit, an at sign or a bracketed at or dot.
 
     Neighbouring such tokens are one stretch, with the token that follows and
-    the one before it; the parts that ``taken`` covers are cut out.
+    the one before it, and so are stretches that then meet; the parts that
+    ``taken`` covers are cut out.
     """
     edges: list[list[int]] = []
     pos, n = 0, len(text)
@@ -345,6 +351,20 @@ def stretches(text: str, taken: list[tuple[int, int, str]]) -> list[list[tuple[i
         else:
             edges.append([start, end])
         pos = end
+    tokens = edges
+    edges = []
+    for start, end in tokens:
+        low = edges[-1][1] if edges else 0
+        while start > low and text[start - 1].isspace():
+            start -= 1
+        while start > low and not text[start - 1].isspace():
+            start -= 1
+        if m := _TOKEN.search(text, end):
+            end = m.end()
+        if edges and start <= edges[-1][1]:
+            edges[-1][1] = end
+        else:
+            edges.append([start, end])
     out, k = [], 0
     for start, end in edges:
         pieces, at = [], start
@@ -368,6 +388,12 @@ def stretches(text: str, taken: list[tuple[int, int, str]]) -> list[list[tuple[i
 _PLAIN = re.compile(r"\W*(?:\w{0,3}[0-9]{0,4}\W*)\Z")
 
 
+def _is_plain(text: str, start: int, end: int) -> bool:
+    """Whether the tokens with signs, from the first to the last, cannot be an entity."""
+    signed = [m for m in _TOKEN.finditer(text, start, end) if _SIGN.search(text, m.start(), m.end())]
+    return not signed or bool(_PLAIN.match(text, signed[0].start(), signed[-1].end()))
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], w: np.ndarray) -> list[tuple[int, int, str]]:
     """Spans that the model adds; none overlaps a base span."""
     out = []
@@ -378,7 +404,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]], w: np.ndarray) -> l
         else:
             flat.append(s)
     for units in stretches(text, flat):
-        if _PLAIN.match(text, units[0][0], units[-1][1]):
+        if _is_plain(text, units[0][0], units[-1][1]):
             continue
         n = len(units)
         segs, x = lattice(text, units)

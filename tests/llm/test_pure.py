@@ -154,6 +154,17 @@ def test_semi_crf():
         assert pii.find_spans(clean, w) == ([], [])
 
 
+def test_entities_of_several_tokens():
+    w = pii.train()
+    for text, want in (
+        ("so mail bob12 [at] site [dot] com now", ("bob12 [at] site [dot] com", "email")),
+        ("so mail alice [at] example [dot] org now", ("alice [at] example [dot] org", "email")),
+        ("so call 555 - 123 - 4567 now", ("555 - 123 - 4567", "phone")),
+    ):
+        assert [(text[a:b], k) for a, b, k in pii.find_spans(text, w)[1]] == [want]
+    assert pii.find_spans("we met (at) noon and left", w) == ([], [])
+
+
 def test_semi_markov_sums_by_enumeration():
     rng = np.random.default_rng(2)
     n, segs = 4, [(i, j) for i in range(4) for j in range(i + 1, 5)]
