@@ -7,21 +7,32 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _fallback: list[str] = []
+#: Paths that this process wrote and has not deleted yet.
+_written: set[str] = set()
+#: Schemes that Hadoop and Arrow name differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) is a local
-    temporary folder made, and set as the context's checkpoint folder.
+    Only where the session leaves it unset and all runs on one machine (tests)
+    is a local temporary folder made, and set as the context's checkpoint
+    folder; on a cluster an unset folder is an error. The path always has a
+    scheme, so that Spark and Arrow take it for the same place.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
-        return told.rstrip("/")
+        return qualified(spark, told.rstrip("/"))
+    master = spark.sparkContext.master or ""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="linkloom-"))
         atexit.register(_forget, _fallback[0])
@@ -36,9 +47,44 @@ def _forget(uri: str) -> None:
     shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority that Hadoop's configuration gives it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def arrow_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a qualified path; usable in tasks."""
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        raise ValueError(f"{uri} has no scheme")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+def _delete(jvm, conf, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+    _written.discard(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """What lazy results still read cannot go before the process ends; it goes then."""
+    try:
+        jvm = SparkContext._jvm
+        conf = jvm.org.apache.hadoop.conf.Configuration() if SparkContext._active_spark_context is None else SparkContext._active_spark_context._jsc.hadoopConfiguration()
+        for path in list(_written):
+            _delete(jvm, conf, path)
+    except Exception:  # the JVM is gone
+        pass
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; deleted when the process ends."""
+    path = f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -59,9 +105,12 @@ def drop_table(df: DataFrame | None) -> None:
     """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
     path = getattr(df, "_linkloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path that ``new_path`` gave."""
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
 
 
 def release(spark: SparkSession) -> None:
