@@ -19,12 +19,15 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.plans.tables import materialize, new_path
+from linkloom.plans.tables import arrow_fs, materialize, new_path
 
-#: A value: 64 and 32 bits of hash.
+#: A wide value: 64 and 32 bits of hash. Of a narrow one RESIDUAL bits below those that number its bucket are kept.
 VALUE = np.dtype([("a", "<u8"), ("b", "<u4")])
-#: Bytes of values that a bucket holds, about.
+RESIDUAL = 40
+#: Bytes of values that a bucket holds at most, about.
 BUCKET_BYTES = 6 << 20
+#: Blocks whose repeated values lie in one folder.
+SHELF = 16
 
 
 def into_blocks(docs: DataFrame) -> DataFrame:
@@ -43,17 +46,30 @@ def _twice(a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
     return same if b is None else same & (b[1:] == b[:-1])
 
 
+def bits_for(nbytes: int) -> int:
+    """log2 of the number of buckets for so many bytes of values."""
+    return min(64 - RESIDUAL, (nbytes // BUCKET_BYTES).bit_length())
+
+
+def narrow(a: np.ndarray, bits: int) -> np.ndarray:
+    """What is kept of 64-bit hashes: the number of their bucket and RESIDUAL bits more."""
+    return a >> np.uint64(64 - RESIDUAL - bits)
+
+
 def pack(a: np.ndarray, b: np.ndarray | None) -> bytes:
+    """Values of one bucket; of narrow ones the last RESIDUAL bits."""
     if b is None:
-        return a.astype("<u8").tobytes()
+        return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : RESIDUAL // 8]).tobytes()
     out = np.empty(len(a), VALUE)
     out["a"], out["b"] = a, b
     return out.tobytes()
 
 
-def unpack(raw: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
+def unpack(raw: bytes, wide: bool, bucket: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
     if not wide:
-        return np.frombuffer(raw, "<u8"), None
+        out = np.zeros((len(raw) * 8 // RESIDUAL, 8), np.uint8)
+        out[:, : RESIDUAL // 8] = np.frombuffer(raw, np.uint8).reshape(-1, RESIDUAL // 8)
+        return out.reshape(-1).view("<u8") | np.uint64(bucket << RESIDUAL), None
     x = np.frombuffer(raw, VALUE)
     return x["a"], x["b"]
 
@@ -93,12 +109,15 @@ def member(a: np.ndarray, b: np.ndarray | None, ra: np.ndarray, rb: np.ndarray |
 SENT = "bucket int, block int, vals binary"
 
 
-def send(block: int, a: np.ndarray, b: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    """A block's values as a row for each bucket that gets any. Buckets are ranges of the hash."""
+def send(block: int, a: np.ndarray, b: np.ndarray | None, bits: int) -> pa.RecordBatch:
+    """A block's values as a row for each bucket that gets any. The first ``bits`` bits number the buckets."""
+    if b is None:
+        a = narrow(a, bits)
     a, b = merged(a, b)
-    which = (a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    cut = np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64))
-    full = np.flatnonzero(np.diff(cut.astype(np.int64)))
+    shift = RESIDUAL if b is None else 64 - bits
+    which = (a >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(a), np.int64)
+    cut = np.searchsorted(which, np.arange((1 << bits) + 1))
+    full = np.flatnonzero(np.diff(cut))
     blobs = [pack(a[cut[k] : cut[k + 1]], None if b is None else b[cut[k] : cut[k + 1]]) for k in full]
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "block", "vals"])
 
@@ -127,10 +146,14 @@ def by_block(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
         yield now, pa.Table.from_batches(held)
 
 
-def repeats(sent: DataFrame, wide: bool) -> str:
-    """Path of a table with, by block, the values that occur twice or more in all blocks together."""
+def repeats(sent: DataFrame, wide: bool, bits: int) -> str:
+    """Path of a table with, by block, the values that occur twice or more in all blocks together.
+
+    A partition is one bucket. The table has a folder for every ``SHELF``
+    blocks, in which rows are sorted by block.
+    """
 
-    def bucket(blocks: list[int], raw: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    def bucket(number: int, blocks: list[int], raw: list[bytes]) -> Iterator[tuple[int, bytes]]:
         parts = [unpack(r, wide) for r in raw]
         a = np.concatenate([p[0] for p in parts])
         b = np.concatenate([p[1] for p in parts]) if wide else None
@@ -145,40 +168,45 @@ def repeats(sent: DataFrame, wide: bool) -> str:
                 yield k, pack(pa_[hit], None if pb is None else pb[hit])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(blocks: list[int], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
-            rows = list(bucket(blocks, raw))
+        def out(number: int, blocks: list[int], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+            rows = list(bucket(number, blocks, raw))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["block", "vals"])
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["bucket", "block", "vals"])
 
         now, blocks, raw = None, [], []
         for batch in it:
             for k, block, v in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), batch.column("vals").to_pylist()):
                 if k != now and blocks:
-                    yield from out(blocks, raw)
+                    yield from out(now, blocks, raw)
                     blocks, raw = [], []
                 now = k
                 blocks.append(block)
                 raw.append(v)
         if blocks:
-            yield from out(blocks, raw)
+            yield from out(now, blocks, raw)
 
     path = new_path(sent.sparkSession, "repeats")
-    back = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block int, vals binary")
-    back.repartition("block").write.partitionBy("block").parquet(path)
+    back = sent.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, SENT)
+    shelf = F.expr(f"block div {SHELF}").alias("shelf")
+    # so that the rows of one block, and few others, are one row group
+    back.select("*", shelf).repartition("shelf").sortWithinPartitions("shelf", "block", "bucket").write.option("parquet.block.size", 2 << 20).partitionBy("shelf").parquet(path)
     return path
 
 
 def block_repeats(path: str, block: int, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Sorted repeated values of one block, read from the shared folder."""
-    fs, base = pafs.FileSystem.from_uri(path)
-    folder = f"{base}/block={block}"
-    if fs.get_file_info(folder).type == pafs.FileType.NotFound:
+    fs, base = arrow_fs(path)
+    folder = f"{base}/shelf={block // SHELF}"
+    parts = []
+    if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+        for f in fs.get_file_info(pafs.FileSelector(folder)):
+            if f.path.endswith(".parquet"):
+                rows = pq.read_table(f.path, filesystem=fs, columns=["bucket", "block", "vals"], filters=[("block", "=", block)], partitioning=None)
+                parts += [unpack(v, wide, k) for k, v in zip(rows.column("bucket").to_pylist(), rows.column("vals").to_pylist())]
+    if not parts:
         return unpack(b"", wide)
-    raw = []
-    for f in fs.get_file_info(pafs.FileSelector(folder)):
-        if f.path.endswith(".parquet"):
-            raw += pq.read_table(f.path, filesystem=fs, columns=["vals"], partitioning=None).column("vals").to_pylist()
-    a, b = unpack(b"".join(raw), wide)
+    a = np.concatenate([p[0] for p in parts])
+    b = np.concatenate([p[1] for p in parts]) if wide else None
     o = order(a, b)
     return a[o], None if b is None else b[o]
 

@@ -7,22 +7,28 @@ quote) also needs a Jaccard similarity of ``SHORT_JACCARD``. Documents are
 partitioned by set size; a query size and a partition's largest size turn the
 containment into a Jaccard threshold, for which every partition tunes its own
 bands and rows. A document is indexed in its own partition and queries that
-one and the next larger by bands. In all larger ones a band would have one row
-and be of little use; there it asks by its rarest shingles of a hash sample
-(short texts: of all shingles), which any text that contains it shares.
+one and the next larger by bands. In all larger ones the threshold leaves
+bands of one or two rows, which boilerplate fills; there it asks exactly, by
+an index of the shingles that several texts have: of a text that another one
+contains, one of its rarest shingles, a few more than may be missing, is in
+the other. So no link between texts of different partitions depends on chance.
 
 Equal texts collapse first, to the least doc_id. In ``LEADER_ROUNDS`` rounds
 every document is checked, exactly, against one leader of its buckets, which
 joins copies by as many checks as there are documents. Only where a bucket still holds several components of the
 links found are pairs of different components checked too, all of them, so no
-link that would join two classes is lost. Classes are the connected components
-of the links that passed. As any link lies in one class, the links are then
-counted exactly by checking all pairs of a class, block by block.
+link that would join two classes is lost. Components of these links, between
+texts of like size, are the inner classes. An inner class of which a member is
+contained in a longer text joins one class that contains it, the least; so a
+short text that many contain goes to one of them and does not make one class
+of them all. Every link counts in ``n_links``: those within inner classes by
+checking all pairs of a class, block by block, the others as they are found.
 
 Defined cases: null texts are never copies of anything; texts without words
 are copies only of equal texts; texts below ``SHINGLE`` words have one
 shingle; ties go to the least doc_id; rows with one doc_id count as one
-document, the least text; an empty table gives no rows; extra columns stay in
+document, the text with the least digest; rows with a null doc_id have no row
+and stay in ``keep_one``; an empty table gives no rows; extra columns stay in
 ``keep_one``.
 """
 
@@ -35,32 +41,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.llm import blocks
 from linkloom.llm.blocks import PIECE_BYTES
 from linkloom.llm.common import batches_of, mix, small_batches, table, text_bytes, word_hashes, word_spans
 from linkloom.llm.components import connected_components
 from linkloom.llm.substrings import Rolling
-from linkloom.plans.tables import drop_table, materialize, release
+from linkloom.plans.tables import drop_path, drop_table, materialize, release
 
 #: RATIO: growth of the size partitions, up to which bands find a pair.
 SHINGLE, CONTAINMENT, RATIO = 3, 0.75, 1.2
 #: From so many shingles on containment alone counts; below, the Jaccard similarity too.
 LEAST_SHINGLES, SHORT_JACCARD = 32, 0.4
-#: Most times its shingles that a near copy of a text below LEAST_SHINGLES can have; one in so many shingles is sampled.
-SHORT_RATIO, SAMPLE_OF = 1 / SHORT_JACCARD, 8
+#: Most times its shingles that a near copy of a text below LEAST_SHINGLES can have.
+SHORT_RATIO = 1 / SHORT_JACCARD
 #: Members of a class that are compared with as many others at a time, and shingles of them at a time.
 LINK_BLOCK, LINK_CHUNK = 64, 1 << 14
 #: Rounds in which a document is checked against one leader.
 LEADER_ROUNDS = 2
 #: Hash functions of a signature; least chance that a pair at the threshold meets in a bucket.
 HASHES, LEAST_CHANCE = 160, 0.94
+#: Shingles that go through all hash functions while they lie in the processor's cache.
+CACHED = 1 << 15
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 IS_WORD[[*range(0x41, 0x5B)]] = True
 
 _rng = np.random.default_rng(11)
-_A = (_rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
 def jaccard_threshold(containment: float, query: float, largest: float) -> float:
@@ -125,10 +134,22 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     out = np.zeros((n, HASHES), np.uint32)
     full = np.flatnonzero(np.diff(offsets))
-    if len(full):
-        at = offsets[:-1][full]
-        for k in range(HASHES):
-            out[full, k] = np.minimum.reduceat(((values * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), at)
+    x = (values >> np.uint64(32)).astype(np.uint32)
+    hashed, k = np.empty(0, np.uint32), 0
+    while k < len(full):
+        low = offsets[full[k]]
+        end = max(k + 1, int(np.searchsorted(offsets[full + 1], low + CACHED, side="right")))
+        docs = full[k:end]
+        part = x[low : offsets[docs[-1] + 1]]
+        at = offsets[docs] - low
+        if len(hashed) < len(part):
+            hashed = np.empty(len(part), np.uint32)
+        h = hashed[: len(part)]
+        for j in range(HASHES):
+            np.multiply(part, _A[j], out=h)
+            np.add(h, _B[j], out=h)
+            out[docs, j] = np.minimum.reduceat(h, at)
+        k = end
     return out
 
 
@@ -154,81 +175,77 @@ def band_hashes(sig: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def samples(values: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """By document: a hash sample of the shingles where there are LEAST_SHINGLES, and all shingles of
-    texts that can be a near copy of a shorter one. The two never share a value."""
-    sizes = np.diff(offsets)
-    n = np.repeat(sizes, sizes)
-    h = mix(values)
-    out = []
-    for low, keep in ((0, (n >= LEAST_SHINGLES) & ((h >> np.uint64(32)) % np.uint64(SAMPLE_OF) == 0)), (1, n <= LEAST_SHINGLES * SHORT_RATIO)):
-        at = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((h[keep] & ~np.uint64(1) | np.uint64(low)).view(np.int64))))
-    return out[0], out[1]
-
-
 def _sketch(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, bucket hashes and samples of each (id, text)."""
+    """id, n_shingles and bucket hashes of each (id, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches_of(it, PIECE_BYTES, "text"):
             values, offsets = shingles(rows)
             sizes = np.diff(offsets)
             buckets = band_hashes(signatures(values, offsets), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), *samples(values, offsets)], names=["id", "n_shingles", "buckets", "sampled", "short"]
-            )
+            yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "n_shingles", "buckets"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, buckets array<long>, sampled array<long>, short array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, buckets array<long>")
 
 
-def _wide_pairs(reps: DataFrame) -> DataFrame:
-    """(id, lead): candidate pairs further apart in size than bands look, the smaller text first.
+def _sets(stored: DataFrame, total: int) -> DataFrame:
+    """(id, n, s): for each text the number of its shingles, and those that occur in other texts too, sorted.
 
-    Of a contained text at most a share 1 - CONTAINMENT of the shingles is
-    missing in the other, so among its rarest shingles, a few more than that
-    share of them, one at least is in both. Shingles of one text only count
-    as the rarest and need no look-up.
+    ``stored``: (id, text, block), each text once; ``total``: shingles of all
+    texts. No two texts share a shingle that is not in ``s``.
     """
-    rows = reps.select("id", F.explode(F.concat("sampled", "short")).alias("h")).repartition("h")
-    # least and greatest id, so that both sides of the join read one exchange
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "f")
-    seen = materialize(rows.join(often, "h"), "seen")
-    sizes = reps.select("id", F.col("n_shingles").alias("n"), F.size("sampled").alias("k0"), F.size("short").alias("k1"))
-    shared = materialize(seen.join(sizes, "id").select("h", "f", "id", "n", F.when(F.expr("h & 1 = 0"), F.col("k0")).otherwise(F.col("k1")).alias("k")), "shared")
-    drop_table(seen)
-    asking = shared.where(f"h & 1 = 0 or n < {LEAST_SHINGLES}")
-    own = asking.groupBy("id", "n", "k", F.col("h").bitwiseAND(F.lit(1)).alias("short")).agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
-    # the sample's share of missing shingles strays from the text's
-    most = F.ceil(F.col("k") * 1.6 * (1 - CONTAINMENT)) + 2 - (F.col("k") - F.size("s"))
-    asks = own.withColumn("most", most.cast("int")).where("most > 0").select(F.col("id").alias("a"), F.col("n").alias("m"), F.explode(F.slice("s", 1, F.col("most"))).alias("x")).select("a", "m", F.col("x.h").alias("h"))
-    met = asks.join(shared.select("h", "id", "n"), "h").where("a <> id").where(~_in_bands("m", "n") & _sizes_fit("m", "n") & (F.col("n") > F.col("m")))
-    pairs = materialize(met.select("a", "id").distinct(), "wide")
-    drop_table(shared)
-    # the samples, an eighth of the shingles, leave few pairs for the exact test; two deviations below the expected share stay
-    own = reps.groupBy("id").agg(F.min(F.struct("n_shingles", "sampled", "short")).alias("s"))
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("t")), "a").join(own, "id")
-    use = lambda c: F.when(F.col("t.n_shingles") < LEAST_SHINGLES, F.col(f"{c}.short")).otherwise(F.col(f"{c}.sampled"))
-    tried = both.select("a", "id", F.size(use("t")).alias("k"), F.size(F.array_intersect(use("t"), use("s"))).alias("common"))
-    likely = tried.where(F.col("common") >= F.col("k") * CONTAINMENT - 2 * F.sqrt(F.col("k") * CONTAINMENT * (1 - CONTAINMENT)))
-    out = materialize(likely.select(F.col("a").alias("id"), F.col("id").alias("lead")), "wide")
-    drop_table(pairs)
+    bits = blocks.bits_for(total * blocks.RESIDUAL // 8)
+
+    def find(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield blocks.send(block, shingles(rows)[0], None, bits)
+
+    path = blocks.repeats(blocks.map_blocks(stored, find, blocks.SENT), False, bits)
+    kept: dict[int, np.ndarray] = {}
+
+    def keep(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        values, offsets = shingles(rows)
+        if block not in kept:
+            kept.clear()
+            kept[block] = blocks.block_repeats(path, block, False)[0]
+        hit = blocks.member(blocks.narrow(values, bits), None, kept[block], None)
+        at = np.concatenate([[0], np.cumsum(hit)])[offsets]
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values[hit].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(np.diff(offsets), pa.int64()), lists], names=["id", "n", "s"])
+
+    out = materialize(blocks.map_blocks(stored, keep, "id long, n long, s array<long>"), "sets")
+    drop_path(stored.sparkSession, path)
     return out
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches_of(it, PIECE_BYTES, "text"):
-            values, offsets = shingles(rows)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), lists], names=["id", "s"])
+def _wide_pairs(sets: DataFrame) -> DataFrame:
+    """(id, lead): candidate pairs further apart in size than bands look, the smaller text first.
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    Of a contained text at most a share 1 - CONTAINMENT of the shingles is
+    missing in the other, so among its rarest shingles, one more than that
+    share of them, one at least is in both. Shingles of one text only are the
+    rarest and need no look-up; a text that has more of them than may be
+    missing is contained nowhere.
+    """
+    rows = sets.select("id", "n", F.explode("s").alias("h"))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.max("n").alias("top"))
+    may = F.floor(F.col("n") * (1 - CONTAINMENT) + 1e-9) + 1 - (F.col("n") - F.size("s"))
+    able = sets.withColumn("most", may.cast("int")).where("most > 0")
+    own = able.select("id", "n", "most", F.explode("s").alias("h")).join(often.where("f > 1"), "h")
+    rare = own.groupBy("id", "n", "most").agg(F.sort_array(F.collect_list(F.struct("f", "h", "top"))).alias("s"))
+    asks = rare.select(F.col("id").alias("a"), F.col("n").alias("m"), F.explode(F.slice("s", 1, F.col("most"))).alias("x")).select("a", "m", F.col("x.h").alias("h"), F.col("x.top").alias("top"))
+    # only what some longer text has is worth asking for, and only texts longer than some that ask can answer
+    asks = materialize(asks.where(~_in_bands("m", "top")).select("a", "m", "h"), "asks")
+    least = asks.groupBy("h").agg(F.min("m").alias("low"))
+    posts = rows.join(least, "h").where((F.col("n") > F.col("low")) & ~_in_bands("n", "low")).select("h", "id", "n")
+    met = asks.join(posts, "h").where((F.col("n") > F.col("m")) & ~_in_bands("m", "n") & _sizes_fit("m", "n"))
+    out = materialize(met.select(F.col("a").alias("id"), F.col("id").alias("lead")).distinct(), "wide")
+    drop_table(asks)
+    return out
 
 
-def passes(a: str, b: str) -> F.Column:
-    """Whether the shingle sets in columns a and b are near copies."""
-    lo, hi = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+def passes(a: str, n: str, b: str, m: str) -> F.Column:
+    """Whether texts of n and m shingles, of which those in columns a and b can be common, are near copies."""
+    lo, hi = F.least(n, m), F.greatest(n, m)
     both = F.size(F.array_intersect(a, b))
     return (both >= lo * CONTAINMENT - 1e-9) & ((lo >= LEAST_SHINGLES) | (both >= (lo + hi - both) * SHORT_JACCARD - 1e-9))
 
@@ -252,41 +269,44 @@ def _labelled(live: DataFrame, linked: DataFrame | None) -> DataFrame:
 
 
 def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, lead, ok): the exact test of candidate pairs."""
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("s").alias("t")), "lead")
-    return both.select("id", "lead", passes("s", "t").alias("ok"))
+    """(id, lead, ok): the exact test of candidate pairs; the set of ``id`` travels with the pair."""
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("n").alias("m"), F.col("s").alias("t")), "lead")
+    return both.select("id", "lead", passes("s", "n", "t", "m").alias("ok"))
 
 
 def _edges(checked: DataFrame) -> DataFrame:
     return checked.where("ok").select(F.col("id").alias("a"), F.col("lead").alias("b"))
 
 
-def linked_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Booleans: which of the sets a are near copies of which of the sets b, in chunks of shingles."""
-    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+def linked_pairs(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Booleans: which of the texts a are near copies, of like size, of which of the texts b, in chunks of shingles.
+
+    a and b: the shingles that can be common; n and m: numbers of all shingles.
+    """
     both = np.zeros((len(a), len(b)))
     left, right = np.concatenate(a), np.concatenate(b)
     common = np.intersect1d(left, right)
     rows = []
-    for x, sizes in ((left, n), (right, m)):
+    sizes_of = [np.array([len(x) for x in side]) for side in (a, b)]
+    for x, sizes in zip((left, right), sizes_of):
         at = np.searchsorted(common, x)
         at[at == len(common)] = 0
         hit = np.flatnonzero(common[at] == x) if len(common) else np.empty(0, np.int64)
         rows.append((np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]))
     for low in range(0, len(common), LINK_CHUNK):
         parts = []
-        for (doc, at), sizes in zip(rows, (n, m)):
+        for (doc, at), sizes in zip(rows, sizes_of):
             here = (at >= low) & (at < low + LINK_CHUNK)
             part = np.zeros((len(sizes), min(LINK_CHUNK, len(common) - low)), np.float32)
             part[doc[here], at[here] - low] = 1
             parts.append(part)
         both += parts[0] @ parts[1].T
     lo, hi = np.minimum(n[:, None], m), np.maximum(n[:, None], m)
-    return (both >= lo * CONTAINMENT - 1e-9) & ((lo >= LEAST_SHINGLES) | (both >= (lo + hi - both) * SHORT_JACCARD - 1e-9))
+    return (hi <= np.floor(lo * RATIO + 1e-9)) & (both >= lo * CONTAINMENT - 1e-9) & ((lo >= LEAST_SHINGLES) | (both >= (lo + hi - both) * SHORT_JACCARD - 1e-9))
 
 
 def count_links(linked: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n_links): the near copies of each member of a class (node, component) among all its members.
+    """(node, n): the near copies of like size of each member of an inner class (node, component) among all its members.
 
     A class is cut into blocks of about ``LINK_BLOCK`` members; each pair of blocks is one small group.
     """
@@ -301,10 +321,11 @@ def count_links(linked: DataFrame, sets: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         ids, at, i, j = group.column("id").to_numpy(), group.column("at").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
         s = [x.values.to_numpy() for x in group.column("s")]
+        sizes = group.column("n").to_numpy()
         a, b = np.flatnonzero(at == i), np.flatnonzero(at == j)
         n = np.zeros(len(ids), np.int64)
         if len(a) and len(b):
-            ok = linked_pairs([s[k] for k in a], [s[k] for k in b])
+            ok = linked_pairs([s[k] for k in a], [s[k] for k in b], sizes[a], sizes[b])
             if i == j:
                 np.fill_diagonal(ok, False)
                 n[a] = ok.sum(axis=1)
@@ -312,8 +333,20 @@ def count_links(linked: DataFrame, sets: DataFrame) -> DataFrame:
                 n[a], n[b] = ok.sum(axis=1), ok.sum(axis=0)
         return pa.table({"node": ids, "n": n})
 
-    counted = spread.join(sets, "id").select("component", "i", "j", "id", "at", "s").groupBy("component", "i", "j").applyInArrow(run, "node long, n long")
-    return counted.unionByName(two).groupBy("node").agg(F.sum("n").alias("n_links"))
+    counted = spread.join(sets, "id").select("component", "i", "j", "id", "at", "n", "s").groupBy("component", "i", "j").applyInArrow(run, "node long, n long")
+    return counted.unionByName(two).groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def _attached(linked: DataFrame, wide: DataFrame) -> DataFrame:
+    """(component, top): inner classes with a member that a longer text contains, and the class they join.
+
+    ``wide``: (id, lead) links. Each such class names the least class that
+    contains it; what these names tie together is one class.
+    """
+    part = linked.select(F.col("node"), F.col("component"))
+    a = wide.join(part.withColumnsRenamed({"node": "id", "component": "ca"}), "id", "left").join(part.withColumnsRenamed({"node": "lead", "component": "cb"}), "lead", "left")
+    named = a.select(F.coalesce("ca", "id").alias("a"), F.coalesce("cb", "lead").alias("b")).where("a <> b").groupBy("a").agg(F.min("b").alias("b"))
+    return connected_components(named).select(F.col("node").alias("component"), F.col("component").alias("top"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -321,33 +354,36 @@ def classes(docs: DataFrame) -> DataFrame:
 
     ``class_id``: the least doc_id of the class. ``copy_of``: the least doc_id
     with the same text; ``n_copies``: documents with that text. ``n_links``:
-    other texts of the class that the text is a near copy of.
+    other texts that the text is a near copy of.
     """
-    one = docs.select("doc_id", "text").where("doc_id is not null")
-    keyed = one.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).groupBy("doc_id").agg(F.min("key").alias("key"))
-    keyed = materialize(keyed, "keys")
+    spark = docs.sparkSession
+    one = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("key")).where("doc_id is not null")
+    keyed = materialize(one.groupBy("doc_id").agg(F.min("key").alias("key")), "keys")
     first = keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"))
-    member = materialize(keyed.join(first, "key", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.col("key").isNull().alias("blank")), "members")
+    member = materialize(keyed.join(first, "key", "left").select("doc_id", "key", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")), "members")
     drop_table(keyed)
-    texts = one.select(F.col("doc_id").alias("id"), F.lower("text").alias("text")).where("text is not null")
-    sketch = materialize(_sketch(texts), "sketch")
-    reps = sketch.join(member.where("not blank and doc_id = copy_of").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    rows = reps.select("id", F.explode("buckets").alias("bucket"))
+    # each text once, under the least doc_id that has it
+    lead = member.where("key is not null and doc_id = copy_of").select("doc_id", "key")
+    texts = one.join(lead, ["doc_id", "key"]).groupBy(F.col("doc_id").alias("id")).agg(F.first(F.lower("text")).alias("text"))
+    stored = blocks.into_blocks(texts)
+    sketch = materialize(_sketch(stored), "sketch")
+    rows = sketch.select("id", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     live = materialize(rows.join(shared, "bucket"), "buckets")
-    wide = _wide_pairs(reps)
-    release(docs.sparkSession)
-    sizes = materialize(sketch.groupBy("id").agg(F.min("n_shingles").alias("n")), "sizes")
+    sizes = materialize(sketch.select("id", "n_shingles"), "sizes")
+    total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     drop_table(sketch)
-    near = materialize(live.select("id").unionByName(wide.select(F.explode(F.array("id", "lead")).alias("id"))).distinct(), "near")
-    sets = materialize(_sets(texts.join(near, "id", "left_semi")).groupBy("id").agg(F.min("s").alias("s")), "sets")
-    live0 = live
-    live = materialize(live.join(sizes.join(near, "id", "left_semi"), "id"), "buckets")
-    drop_table(live0)
-    release(docs.sparkSession)
+    release(spark)
+    sets = _sets(stored, total)
+    drop_table(stored)
+    release(spark)
+    wide = _wide_pairs(sets)
+    far = materialize(_check(wide, sets).where("ok").select("id", "lead"), "far")
+    drop_table(wide)
+    release(spark)
     checked = None
     linked = None
-    # pairs far apart in size, and each member against the leader of one of its buckets at a time, as long as the leader is of another component
+    # each member against the leader of one of its buckets at a time, as long as the leader is of another component
     for _ in range(LEADER_ROUNDS):
         label = _labelled(live, linked)
         lead = label.groupBy("bucket").agg(F.min(F.struct("id", "n", "c")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.n").alias("m"), F.col("l.c").alias("d"))
@@ -355,8 +391,8 @@ def classes(docs: DataFrame) -> DataFrame:
         if checked is not None:
             pairs = pairs.join(checked.select("id", "lead"), ["id", "lead"], "left_anti")
         pairs = pairs.groupBy("id").agg(F.min("lead").alias("lead"))
-        fresh = materialize(_check(pairs if checked is not None else pairs.unionByName(wide).distinct(), sets), "checked")
-        release(docs.sparkSession)
+        fresh = materialize(_check(pairs, sets), "checked")
+        release(spark)
         if fresh.isEmpty():
             break
         checked = fresh if checked is None else checked.unionByName(fresh)
@@ -376,19 +412,29 @@ def classes(docs: DataFrame) -> DataFrame:
     if linked is None or not more.where("ok").isEmpty():
         drop_table(linked)
         linked = materialize(connected_components(_edges(checked)), "classes")
-    release(docs.sparkSession)
-    degree = materialize(count_links(linked, sets), "links")
-    for t in (live, near, sets, label, wide):
+    release(spark)
+    ends = far.select(F.explode(F.array("id", "lead")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    degree = materialize(count_links(linked, sets).unionByName(ends).groupBy("node").agg(F.sum("n").alias("n_links")), "links")
+    top = materialize(_attached(linked, far), "tops")
+    for t in (live, sets, label, far):
         drop_table(t)
-    out = member.join(linked.join(degree, "node", "left"), member.copy_of == F.col("node"), "left")
-    return out.join(sizes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")), "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "copy_of").alias("class_id"), "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles")
+    release(spark)
+    inner = member.join(linked, member.copy_of == F.col("node"), "left").select("doc_id", "copy_of", "n_copies", F.coalesce("component", "copy_of").alias("component"))
+    out = inner.join(top, "component", "left").join(degree, inner.copy_of == degree.node, "left")
+    return out.join(sizes.select(F.col("id").alias("copy_of"), "n_shingles"), "copy_of", "left").select(
+        "doc_id", F.coalesce("top", "component").alias("class_id"), "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles")
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is not its class's least; rows with a null doc_id stay."""
-    gone = classes(docs).where("doc_id <> class_id").select("doc_id")
+    """``docs`` with one document of each class, that with the most shingles, or the least doc_id of several.
+
+    So a text that goes is contained in one that is left or is a near copy of
+    such a one. Rows with a null doc_id stay.
+    """
+    found = classes(docs)
+    kept = found.groupBy("class_id").agg(F.max_by("doc_id", F.struct("n_shingles", -F.col("doc_id"))).alias("kept"))
+    gone = found.join(kept, "class_id").where("doc_id <> kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -122,13 +122,13 @@ def _run(docs: DataFrame, window: int, schema: str, shown) -> DataFrame:
     stored = blocks.into_blocks(docs.select("doc_id", "text"))
     nbytes = stored.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = nbytes // 6 + 1
-    few, many = (1 + words * per // blocks.BUCKET_BYTES for per in (8 * len(cover) // period + 1, 4))
+    few, many = (blocks.bits_for(words * per) for per in (blocks.RESIDUAL // 8 * len(cover) // period + 1, 4))
 
     def anchors(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         p = Piece(rows, window)
         yield blocks.send(block, p.anchors(period, cover)[1], None, few)
 
-    anchor_path = blocks.repeats(blocks.map_blocks(stored, anchors, blocks.SENT), wide=False)
+    anchor_path = blocks.repeats(blocks.map_blocks(stored, anchors, blocks.SENT), False, few)
     kept: dict[tuple[str, int], tuple] = {}
 
     def repeated(path: str, block: int, wide: bool) -> tuple:
@@ -140,14 +140,14 @@ def _run(docs: DataFrame, window: int, schema: str, shown) -> DataFrame:
 
     def candidates(p: Piece, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, h = p.anchors(period, cover)
-        starts = p.windows(at[blocks.member(h, None, *repeated(anchor_path, block, False))], period)
+        starts = p.windows(at[blocks.member(blocks.narrow(h, few), None, *repeated(anchor_path, block, False))], period)
         return starts, p.rolling(starts, window), (Rolling(p.hash, 1)(starts, window) >> np.uint64(32)).astype(np.uint32)
 
     def full(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         _, a, b = candidates(Piece(rows, window), block)
         yield blocks.send(block, a, b, many)
 
-    window_path = blocks.repeats(blocks.map_blocks(stored, full, blocks.SENT), wide=True)
+    window_path = blocks.repeats(blocks.map_blocks(stored, full, blocks.SENT), True, many)
 
     def finish(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         p = Piece(rows, window)
