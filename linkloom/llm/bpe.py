@@ -24,10 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from linkloom.llm.common import small_batches, table, vocabulary_path
-
-#: Words of each of two generations that a Python worker remembers: bounds its memory.
-MEMORY_WORDS = 350_000
+from linkloom.llm.common import ENTRY_BYTES, MEMORY_BYTES, kept, small_batches, table, vocabulary_path
 
 #: White space of the tokenizer's patterns (Unicode White_Space): other than str.split, no \x1c-\x1f.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -77,6 +74,8 @@ class BPE:
         self.known: dict[str, list[int]] = {}
         self.drawn: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
+        #: bytes that may still be remembered
+        self.known_room = self.drawn_room = MEMORY_BYTES
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token.
@@ -138,8 +137,9 @@ class BPE:
         got = known.get(chunk)
         if got is not None:
             return got
-        if len(known) >= MEMORY_WORDS:
+        if self.known_room < 0:
             known.clear()
+            self.known_room = MEMORY_BYTES
         plain = self.normal(chunk)
         if plain.isalpha():
             got = known.get(plain)
@@ -152,6 +152,7 @@ class BPE:
             for w in self.words.findall(plain):
                 got += self.merge(w)
         known[chunk] = got
+        self.known_room -= ENTRY_BYTES + len(chunk) + 8 * len(got)
         return got
 
     def _split(self, text: str) -> list[str]:
@@ -199,12 +200,14 @@ class BPE:
                     got = (k + 1, f"{x} {self.shown[mark]}", f"{y} {self.strings[mark]}")
                     if not known:  # a word that may never come again is kept without its mark
                         drawn[body] = (k, x, y)
+                        self.drawn_room -= ENTRY_BYTES + len(body) + len(x) + len(y)
                         return got
                 else:
                     got = self._drawn([i for w in self.words.findall(plain) for i in self.merge(w)])
-        if len(drawn) >= MEMORY_WORDS:
-            self.older, self.drawn = drawn, {}
+        if self.drawn_room < 0:
+            self.older, self.drawn, self.drawn_room = drawn, {}, MEMORY_BYTES
         self.drawn[chunk] = got
+        self.drawn_room -= ENTRY_BYTES + len(chunk) + len(got[1]) + len(got[2])
         return got
 
     def rendered(self, text: str | None) -> tuple[int, str, str]:
@@ -228,14 +231,9 @@ class BPE:
         return n, " ".join(a), " ".join(b)
 
 
-_loaded: dict[str, BPE] = {}
-
-
 def bpe(path: str) -> BPE:
     """One per Python worker: words met in one task are remembered in the next."""
-    if path not in _loaded:
-        _loaded[path] = BPE(path)
-    return _loaded[path]
+    return kept("bpe", path, lambda: BPE(path))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 512
 
 
+#: Bytes of words that a Python worker remembers, about, in each of two generations.
+MEMORY_BYTES = 40 << 20
+#: What an entry of a dictionary of words takes besides its characters and ids, about.
+ENTRY_BYTES = 260
+
+_kept: dict[tuple[str, str], object] = {}
+
+
+def kept(kind: str, key: str, make: Callable[[], object]):
+    """``make()``, once for all tasks of a Python worker that follow one another.
+
+    A worker outlives its task and serves the next stage too, so only the
+    objects of one kind and key stay: what an earlier stage kept goes, and its
+    memory goes back to the system.
+    """
+    got = _kept.get((kind, key))
+    if got is None:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+        got = _kept[kind, key] = make()
+    return got
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,15 +13,18 @@ their size need fit anything; nothing is broadcast.
 
 Defined cases: null texts have no words and no hits; null or wordless
 benchmark items have no windows; items of fewer than ``WINDOW`` words are one
-window; equal windows of several items count for each of them; repeated rows
-are treated alike; empty tables give no hits or no rows; texts of any length
-are one document of one shard; extra columns stay in ``cut``.
+window; equal windows of several items are searched once and count for each of
+them; windows of items with a null item_id hit and are cut, but are no item of
+``n_items``; documents with a null doc_id are treated like others; repeated
+rows are treated alike; empty tables give no hits or no rows; texts of any
+length are one document of one shard; extra columns stay in ``cut``.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.blocks import PIECE_BYTES
-from linkloom.llm.common import batches_of, small_batches, table, text_bytes, word_hashes, word_spans
-from linkloom.plans.tables import new_path
+from linkloom.llm.common import batches_of, kept, small_batches, table, text_bytes, word_hashes, word_spans
+from linkloom.plans.tables import arrow_fs, new_path
 
 WINDOW = 10
 #: Every so-many-th position of the suffix array is kept.
 SAMPLE = 32
 #: Windows that go through an index together.
 PATTERNS = 1 << 16
+#: Items of one window in a row; a window of more has several rows.
+ITEMS = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -198,8 +203,23 @@ def _words(rows: pa.Table) -> tuple[np.ndarray, ...]:
     return word_hashes(low, starts, ends), first, starts, ends, raw, offsets
 
 
+class Windows(NamedTuple):
+    """Distinct windows: the items of each, hashes of the words (left-aligned rows), numbers of words."""
+
+    items: list[list[str]]
+    words: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def empty(cls, width: int) -> Windows:
+        return cls([], np.zeros((0, width), np.uint64), np.zeros(0, np.int64))
+
+
 def write_windows(benchmark: DataFrame, window: int = WINDOW) -> str:
-    """Path of a table with a row per window: item_id, the words' hashes, their number."""
+    """Path of a table with a row per distinct window: the words' hashes, their number, at most about ITEMS of its items.
+
+    Windows of more items have a row for each part of these.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -216,14 +236,16 @@ def write_windows(benchmark: DataFrame, window: int = WINDOW) -> str:
                 yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=["item_id", "words", "size"])
 
     path = new_path(benchmark.sparkSession, "windows")
-    made = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInArrow(run, "item_id string, words array<long>, size int")
-    made.distinct().write.parquet(path)
+    made = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, words array<long>, size int").distinct()
+    parts = made.groupBy("words").agg(F.ceil(F.count(F.lit(1)) / ITEMS).alias("parts"))
+    part = F.pmod(F.xxhash64("item_id"), F.col("parts")).alias("part")
+    made.join(parts, "words").select("words", "size", part, "item_id").groupBy("words", "size", "part").agg(F.sort_array(F.collect_set("item_id")).alias("items")).drop("part").write.parquet(path)
     return path
 
 
-def windows_of(path: str, width: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Blocks of windows: items, hashes (left-aligned rows of ``width``), sizes."""
-    fs, base = pafs.FileSystem.from_uri(path)
+def windows_of(path: str, width: int) -> Iterator[Windows]:
+    """The table's windows in blocks."""
+    fs, base = arrow_fs(path)
     for f in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")):
         with fs.open_input_file(f) as source:
             for b in pq.ParquetFile(source).iter_batches(PATTERNS):
@@ -233,16 +255,14 @@ def windows_of(path: str, width: int) -> Iterator[tuple[list[str], np.ndarray, n
                 flat = b.column("words").flatten().to_numpy().view(np.uint64)
                 rows = np.zeros((b.num_rows, width), np.uint64)
                 rows[np.arange(width) < sizes[:, None]] = flat
-                yield b.column("item_id").to_pylist(), rows, sizes
-
-
-_held: dict[str, list] = {}
+                yield Windows(b.column("items").to_pylist(), rows, sizes)
 
 
-def _blocks(path: str, width: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+def _blocks(path: str, width: int) -> Iterator[Windows]:
     """Blocks of windows; a single block stays in the worker's memory."""
-    if path in _held:
-        yield from _held[path]
+    held: list[Windows] = kept("windows", path, list)
+    if held:
+        yield from held
         return
     seen = 0
     for block in windows_of(path, width):
@@ -251,8 +271,7 @@ def _blocks(path: str, width: int) -> Iterator[tuple[list[str], np.ndarray, np.n
             one = block
         yield block
     if seen <= 1:
-        _held.clear()
-        _held[path] = [one] if seen else []
+        held[:] = [one if seen else Windows.empty(width)]
 
 
 def find_hits(words: np.ndarray, first: np.ndarray, path: str, width: int) -> tuple[np.ndarray, list[set[str]]]:
@@ -273,7 +292,7 @@ def find_hits(words: np.ndarray, first: np.ndarray, path: str, width: int) -> tu
         doc = np.searchsorted(first, at, side="right") - 1
         pairs = np.unique(doc * len(names) + which)
         for d, w in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist()):
-            items[d].add(names[w])
+            items[d].update(names[w])
     return np.cumsum(marks)[:-1] > 0, items
 
 

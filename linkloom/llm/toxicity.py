@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import small_batches, table
+from linkloom.llm.common import ENTRY_BYTES, MEMORY_BYTES, kept, small_batches, table
 
 ORDER, SPAN, DECAY = 3, 7, 0.75
 #: Longest unit; longer words are cut into pieces that overlap by half.
@@ -47,8 +47,6 @@ POWERS = (5, 16)
 FLOOR = 0.55
 SAMPLE_TOXIC, SAMPLE_CLEAN, PADDED = 2500, 4500, 800
 THRESHOLD = 0.7
-#: Words of each of two generations that a Python worker remembers: bounds its memory.
-MEMORY_WORDS = 300_000
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâáãéèêëíîïìóôòõúùûçñœæå"
 _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}
@@ -182,6 +180,7 @@ class Scorer:
         self.landmarks = landmarks
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
+        self.room = MEMORY_BYTES
 
     def largest(self, texts: list[str | None]) -> np.ndarray:
         split = [set(words_of(t)) for t in texts]
@@ -200,14 +199,17 @@ class Scorer:
                 if len(hits) > 1:
                     hits = [(np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))]
                 made[w] = hits[0] if hits else None
-            if len(self.young) + len(made) > MEMORY_WORDS:
-                self.old, self.young = self.young, {w: v for w, v in self.young.items() if v is not None}
+            if self.room < 0:  # what this batch needs of the old words stays at hand
+                young = self.young
+                self.old, self.young = young, {w: young[w] for words in split for w in words if w in young}
+                self.room = MEMORY_BYTES
+            self.room -= sum([ENTRY_BYTES + len(w) if v is None else 2 * ENTRY_BYTES + len(w) for w, v in made.items()])
             self.young.update(made)
         out = np.zeros((len(texts), len(self.landmarks.units)), np.float32)
-        young, old = self.young, self.old
+        young = self.young
         for i, words in enumerate(split):
             for w in words:
-                h = young[w] if w in young else old[w]
+                h = young[w]
                 if h is not None:
                     np.maximum.at(out[i], h[0], h[1])
         return out
@@ -336,9 +338,6 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str | None],
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     schema = "doc_id long, score double"
@@ -355,10 +354,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def text_scores(model: Model, key: int, texts: list[str | None]) -> np.ndarray:
     if model.landmarks is None:
         return np.zeros(len(texts))
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model.landmarks)
-    return model.scores(_scorers[key].largest(texts))
+    return model.scores(kept("toxicity", str(key), lambda: Scorer(model.landmarks)).largest(texts))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
