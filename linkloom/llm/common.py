@@ -77,7 +77,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,13 +122,13 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     left = ends - starts
     h = left.astype(np.uint64) * _M1 + np.uint64(seed)
     at, todo, pos = starts, None, None
-    first = mix((lanes[at] & _MASKS[np.minimum(left, 8)]) ^ h)
+    first = mix((lanes[at] & MASKS[np.minimum(left, 8)]) ^ h)
     h = first
     todo = np.flatnonzero(left > 8)
     while len(todo):
         pos = starts[todo] + 8 if pos is None else pos + 8
         rest = ends[todo] - pos
-        h[todo] = mix((lanes[pos] & _MASKS[np.minimum(rest, 8)]) + h[todo] * _M1)
+        h[todo] = mix((lanes[pos] & MASKS[np.minimum(rest, 8)]) + h[todo] * _M1)
         more = rest > 8
         todo, pos = todo[more], pos[more]
     return h
