@@ -59,21 +59,27 @@ def _reversal(bits: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=512)
-def _table(lengths: bytes, shift: int = 4) -> tuple[list[int], int]:
-    """Lookup by the next bits (low end first): symbol << shift | length; and the mask of an index."""
+def _line(lengths: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Lookup by the next bits (low end first): symbols and lengths; and the mask of an index."""
     x = np.frombuffer(lengths, np.uint8)
     used = np.flatnonzero(x)
     if not len(used):
         raise FormatError("a code without symbols")
     if len(used) == 1:
-        return [int(used[0]) << shift], 0
+        return used.astype(np.int64), np.zeros(1, np.uint8), 0
     top = int(x.max())
     order = used[np.argsort(x[used], kind="stable")]
     size = np.int64(1) << (top - x[order].astype(np.int64))
     if size.sum() != 1 << top:
         raise FormatError("a code that is not complete")
-    line = np.repeat(order.astype(np.int64) << shift | x[order], size)
-    return line[_reversal(top)].tolist(), (1 << top) - 1
+    line = np.repeat(order, size)[_reversal(top)]
+    return line, x[line], (1 << top) - 1
+
+
+def _table(lengths: bytes, shift: int = 4) -> tuple[list[int], int]:
+    """Lookup by the next bits: symbol << shift | length; and the mask of an index."""
+    symbols, sizes, mask = _line(lengths)
+    return (symbols << shift | sizes).tolist(), mask
 
 
 def code_lengths(counts: dict[int, int], limit: int = 15) -> dict[int, int]:
@@ -165,17 +171,21 @@ class Reader:
         self.read(here & 7)
 
 
-def _read_codes(r: Reader, sizes: tuple[int, ...]) -> list[tuple[list[int], int]]:
-    """The five codes of a group; their tables have each symbol where a pixel has it."""
+#: In the tables of a group's five codes each symbol lies where a pixel has it.
+_SHIFTS = (12, 20, 4, 28, 4)
+
+
+def _read_codes(r: Reader, sizes: tuple[int, ...]) -> list[bytes]:
+    """Lengths of the five codes of a group."""
     out, before = [], (0, 0, 0, b"")
-    for n, shift in zip(sizes, (12, 20, 4, 28, 4)):
+    for n in sizes:
         if n == before[0] and r.same(before[1], before[2]):  # equal bits are an equal code
             r.skip(before[2])
         else:
             start = r.place()
             lengths = _read_lengths(r, n)
             before = (n, start, r.place() - start, lengths)
-        out.append(_table(before[3], shift))
+        out.append(before[3])
     return out
 
 
@@ -234,6 +244,7 @@ def _image(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     total, out = width * height, []
     if not cache_bits and choose is None and total >= 64:
         return _literals_together(r, codes[0], width, total)
+    codes = [[_table(x, k) for x, k in zip(group, _SHIFTS)] for group in codes]
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
     data, at, acc, n, size = r.data, r.at, r.acc, r.n, r.size + 12
     (gt, gm), (rt, rm), (bt, bm), (ht, hm), distance = codes[0]
@@ -298,7 +309,11 @@ def _image(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
 _AHEAD = 1 << 19
 
 
-def _literals_together(r: Reader, group: list[tuple[list[int], int]], width: int, total: int) -> np.ndarray:
+#: Length that stands for a symbol that is no literal.
+_OTHER = 255
+
+
+def _literals_together(r: Reader, group: list[bytes], width: int, total: int) -> np.ndarray:
     """Pixels of a picture with one group of codes and no colour cache.
 
     For every bit place the length of a literal pixel that begins there is
@@ -306,31 +321,31 @@ def _literals_together(r: Reader, group: list[tuple[list[int], int]], width: int
     back-references, whose values are then looked up together.
     """
     out, done, place = np.empty(total, np.uint32), 0, r.place()
-    tables = [(np.array(t, np.int64), m, s) for (t, m), s in zip(group[:4], (12, 20, 4, 28))]
-    raw = np.frombuffer(r.data, np.uint8)
-    lanes = np.ndarray((len(raw) - 3,), "<u4", buffer=r.data, strides=(1,))
+    lines = [_line(x) for x in group[:4]]
+    values = [(symbols << k - 4).astype(np.uint32) for (symbols, _, _), k in zip(lines, _SHIFTS)]
+    sizes = [np.where(lines[0][0] < 256, lines[0][1], np.uint8(_OTHER)), *(x[1] for x in lines[1:])]
+    masks = [x[2] for x in lines]
+    green, distance = _table(group[0]), None
+    lanes = np.ndarray((len(r.data) - 3,), "<u4", buffer=r.data, strides=(1,))
     while done < total:
         if place > r.size * 8:
             raise FormatError("data end too early")
         first = place >> 3
         part = lanes[first : first + (_AHEAD >> 3) + 8]
-        w = ((part[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).ravel()
+        w = ((part[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).astype(np.intp).ravel()
         n = len(w) - 60
         if n <= 0:
             raise FormatError("data end too early")
-        found = []
-        for k, (t, m, _) in enumerate(tables):
-            # equal lengths of codes for two channels are looked up once
-            twin = next((f for f, (t2, m2, _) in zip(found, tables) if k > 1 and m2 == m and f[0] > 0 and np.array_equal(t & 15, t2 & 15)), None)
-            found.append((k, (t & 15).astype(np.uint8)[w & np.uint32(m)]) if twin is None else twin)
-        green = tables[0][0]
-        jump = np.arange(n)
-        steps = []
-        for k, (_, size) in enumerate(found):
-            jump = jump + size[jump] if k else jump + size[:n]
+        begin = sizes[0][w[:n] & masks[0]]
+        special = begin == _OTHER
+        jump = np.arange(n) + np.where(special, 0, begin)
+        steps, seen = [jump], {}
+        for x, size, mask in zip(group[1:4], sizes[1:], masks[1:]):
+            if x not in seen:  # equal codes are looked up once
+                seen[x] = size[w & mask]
+            jump = jump + seen[x][jump]
             steps.append(jump)
-        special = (green >= 1 << 20)[w[:n] & np.uint32(tables[0][1])]
-        jump = np.where(special, -1, jump)
+        jump[special] = -1
         follow, at, places = memoryview(jump), place - first * 8, []
         add, left = places.append, total - done
         while left and at < n and (q := follow[at]) >= 0:
@@ -339,19 +354,20 @@ def _literals_together(r: Reader, group: list[tuple[list[int], int]], width: int
             left -= 1
         if places:
             here = np.array(places)
-            p = green[w[here] & np.uint32(tables[0][1])]
-            for (t, m, _), prior in zip(tables[1:], steps):
-                p = p | t[w[prior[here]] & np.uint32(m)]
-            out[done : done + len(here)] = p >> 4
+            p = values[0][w[here] & masks[0]]
+            for v, mask, prior in zip(values[1:], masks[1:], steps):
+                p |= v[w[prior[here]] & mask]
+            out[done : done + len(here)] = p
             done += len(here)
         place = first * 8 + at
         if done < total and at < n and special[at]:
             r.go(place)
-            s = (r.symbol((group[0][0], group[0][1])) >> 8) - 256
+            s = r.symbol(green) - 256
             if s >= 24:
                 raise FormatError("a colour that is not kept")
             length = _prefixed(r, s)
-            d = _distance(_prefixed(r, r.symbol(group[4])), width)
+            distance = distance or _table(group[4])
+            d = _distance(_prefixed(r, r.symbol(distance)), width)
             if d > done or done + length > total:
                 raise FormatError("a back-reference outside the picture")
             out[done : done + length] = np.resize(out[done - d : done], length) if d < length else out[done - d : done - d + length]
@@ -540,14 +556,10 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
             w.put(used[1], 8)
         return
     items: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    values = lengths.tolist()
     end = used[-1] + 1
-    k = 0
-    while k < end:
-        v, run = values[k], 1
-        while k + run < end and values[k + run] == v:
-            run += 1
-        k += run
+    edges = np.flatnonzero(np.diff(lengths[:end])) + 1
+    starts = [0, *edges.tolist()]
+    for v, run in zip(lengths[starts].tolist(), np.diff(starts, append=end).tolist()):
         if v:
             items.append((v, 0, 0))
             run -= 1
@@ -565,7 +577,7 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
                 items.append((17, run - 3, 3))
                 run = 0
             items += [(0, 0, 0)] * run
-    counts = Counter(s for s, _, _ in items)
+    counts = Counter([s for s, _, _ in items])
     if len(counts) == 1:
         counts[0 if 0 not in counts else 1] += 0
     first = code_lengths(dict(counts), 7)
@@ -579,7 +591,7 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
     w.put(n - 4, 4)
     for k in range(n):
         w.put(int(x[_ORDER[k]]), 3)
-    if end == len(values):
+    if end == len(lengths):
         w.put(0, 1)
     else:  # so many items are all
         need = max(2, (len(items) - 2).bit_length())
@@ -587,10 +599,11 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
         w.put(1, 1)
         w.put((need - 2) // 2, 3)
         w.put(len(items) - 2, need)
+    word, size, acc, at = codes.tolist(), x.tolist(), 0, 0
     for s, v, bits in items:
-        w.put(int(codes[s]), int(x[s]))
-        if bits:
-            w.put(v, bits)
+        acc |= (word[s] | v << size[s]) << at
+        at += size[s] + bits
+    w.put(acc, at)
 
 
 def _lengths_array(counts: np.ndarray, size: int) -> np.ndarray:
@@ -761,6 +774,20 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
 
 
+def smallest(p: np.ndarray) -> bytes:
+    """The smallest file of a picture; where pixels recur, a palette and a colour cache are tried too."""
+    plain = encode(p)
+    colours = len(np.unique(p))
+    if colours * 3 > p.size:
+        return plain
+    made = [plain]
+    if colours <= 256:
+        made.append(encode(p, transforms=(("palette",),)))
+    if colours <= 2048:
+        made.append(encode(p, max(1, min(11, (2 * colours - 1).bit_length()))))
+    return min(made, key=len)
+
+
 def store(payload: bytes) -> bytes:
     """One file for each ``PART_PIXELS`` pixels of the payload."""
     p = np.frombuffer(payload, "<u4")
@@ -773,7 +800,7 @@ def store(payload: bytes) -> bytes:
         height = -(-len(part) // width)
         full = np.zeros(width * height, np.uint32)
         full[: len(part)] = part
-        out.append(encode(full.reshape(height, width)))
+        out.append(smallest(full.reshape(height, width)))
     return b"".join(out)
 
 
