@@ -259,6 +259,15 @@ def test_url_filter(spark):
     assert got[7] == got[8] == ("", "", None, "allow", "default") and got[11][2] is None and got[12][2] is None
     assert got[3][2:] == (None, "block", "alias")  # canonical link to a blocked page
     assert got[13][2:] == got[14][2:] == (None, "allow", "alias")  # both a blocked and an allowed alias
+    chain = [
+        (30, "http://s.net/a?url=http%3A%2F%2Ft.net%2Fb&page=2", "<p>"), (31, "http://t.net/b/", '<link rel="canonical" href="/c/d">'), (32, "https://t.net/c/d.html?utm_source=x", '<link rel=canonical href="//u.net/e">'),
+        (33, "http://u.net/e", '<meta http-equiv="refresh" content="0; url=http://v.com/de/f">'), (34, "http://v.com/de/f", '<link rel="canonical" href="http://s.net/a?page=2&url=http%3A%2F%2Ft.net%2Fb">'), (35, "http://s.net/a?page=3", "<p>"),
+        (36, "http://w.net/g/h", '<link rel="canonical" href="i?x=1">'), (37, "http://w.net/g/i?x=1&ref=q", '<link rel="canonical" href="http://y.com/de/b">'), (38, "http://w.net/g/i?x=2", '<link rel="canonical" href="mailto:a@b.c">'),
+    ]
+    found = {r["page_id"]: (r["verdict"], r["reason"]) for r in urls.judge(spark.createDataFrame(chain, "page_id long, url string, html string").unionByName(df)).collect()}
+    assert [found[k] for k in (30, 31, 32, 33)] == [("block", "alias")] * 4 and found[34] == ("block", "rule")  # a cycle of five
+    assert found[35] == found[38] == ("allow", "default") and found[36] == found[37] == ("block", "alias")
+    assert {k: found[k] for k in got} == {k: v[3:] for k, v in got.items()}
     more = urls.judge(df, spark.createDataFrame([], "a string, b string"))
     assert more.where("reason = 'alias'").count() == 0 and urls.judge(df.limit(0)).count() == 0
 
