@@ -13,10 +13,13 @@ machine is trained on the labelled rows and its margin calibrated to a
 probability.
 
 The fit uses a bounded sample of labelled rows (``SAMPLE_TOXIC`` and
-``SAMPLE_CLEAN`` of each label, the least hashes of doc_id); scoring reads
-every text whole. Defined cases: null and empty texts score like a text
-without units; repeated rows score alike; without a labelled row of each kind
-every score is 0; extra columns stay in ``keep_clean``.
+``SAMPLE_CLEAN`` of each label, the least hashes of doc_id; one text, the
+least, of each doc_id; no text of more than ``LONGEST_SAMPLE`` bytes); scoring
+reads every text whole. Letters of any script are letters; two scripts never
+share one. Defined cases: null and empty texts score like a text without
+units; repeated rows score alike; without a labelled row of each kind every
+score is 0; a null doc_id is scored and not held out; extra columns stay in
+``keep_clean``.
 """
 
 from __future__ import annotations
@@ -46,11 +49,12 @@ POWERS = (5, 16)
 #: A kernel below this counts as none.
 FLOOR = 0.55
 SAMPLE_TOXIC, SAMPLE_CLEAN, PADDED = 2500, 4500, 800
+#: Bytes of the longest text that is sampled for training: with the numbers above a bound of what the driver gathers.
+LONGEST_SAMPLE = 32 << 10
 THRESHOLD = 0.7
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâáãéèêëíîïìóôòõúùûçñœæå"
 _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}
-_K = 64
 _STANDS_FOR = str.maketrans("013457@$", "oieastas")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
@@ -93,21 +97,21 @@ def _subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (DECAY ** (at[:, 2] - at[:, 0] + 1.0)).astype(np.float32)
 
 
-def _codes(units: list[str]) -> np.ndarray:
-    return np.array([[_CODE.get(c) or 55 + ord(c) % 9 for c in u] for u in units], np.int64)
-
-
-def subsequence_rows(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For units of one length: codes of all their subsequences, the weights, and each unit's kernel with itself."""
+def subsequence_rows(units: list[str], code: dict[str, int] = _CODE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For units of one length: codes of all their subsequences, the weights, each unit's kernel with itself, and the
+    number base of the codes. Letters that ``code`` lacks get numbers above all of its own."""
     at, weight = _subsequences(len(units[0]))
-    c = _codes(units)
-    codes = (c[:, at[:, 0]] * _K + c[:, at[:, 1]]) * _K + c[:, at[:, 2]]
+    more: dict[str, int] = {}
+    last = len(code) + 1  # no letter's
+    c = np.array([[code.get(x) or more.setdefault(x, last + 1 + len(more)) for x in u] for u in units], np.int64)
+    base = last + 1 + len(more)
+    codes = (c[:, at[:, 0]] * base + c[:, at[:, 1]]) * base + c[:, at[:, 2]]
     order = np.argsort(codes, axis=1)
-    flat = (np.arange(len(units))[:, None] * _K**3 + np.take_along_axis(codes, order, 1)).ravel()
+    flat = (np.arange(len(units))[:, None] * base**3 + np.take_along_axis(codes, order, 1)).ravel()
     first = np.flatnonzero(np.diff(flat, prepend=-1))
     sums = np.add.reduceat(weight[order].ravel(), first)
-    own = np.bincount(flat[first] // _K**3, sums.astype(np.float64) ** 2, minlength=len(units))
-    return codes, weight, own
+    own = np.bincount(flat[first] // base**3, sums.astype(np.float64) ** 2, minlength=len(units))
+    return codes, weight, own, base
 
 
 @dataclass
@@ -115,36 +119,54 @@ class Landmarks:
     """Units against which the kernel is taken."""
 
     units: list[str]
-    index: np.ndarray = field(init=False)
+    index: np.ndarray | None = field(init=False, default=None)
     weights: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
+        #: the letters of landmarks beyond the usual ones get codes too
+        extra = sorted(set(chain.from_iterable(self.units)).difference(_CODE))
+        self.code = _CODE | {c: len(_CODE) + 1 + i for i, c in enumerate(extra)}
+        self.base = len(self.code) + 2
         rows: list[dict[int, float]] = []
         for u in self.units:
-            codes, weight, own = subsequence_rows([u])
+            codes, weight, own, _ = subsequence_rows([u], self.code)
             d: dict[int, float] = {}
             for c, w in zip(codes[0].tolist(), weight.tolist()):
                 d[c] = d.get(c, 0.0) + w / math.sqrt(own[0])
             rows.append(d)
         known = sorted(set(chain.from_iterable(rows)))
-        self.index = np.zeros(_K**3, np.int32)
-        self.index[known] = np.arange(1, len(known) + 1)
+        self.known = np.array(known, np.int64)
+        if self.base <= 200:  # a table of all codes stays small
+            self.index = np.zeros(self.base**3, np.int32)
+            self.index[known] = np.arange(1, len(known) + 1)
         self.weights = np.zeros((len(known) + 1, len(self.units)), np.float32)
+        place = {c: i + 1 for i, c in enumerate(known)}
         for k, d in enumerate(rows):
             for c, w in d.items():
-                self.weights[self.index[c], k] = w
+                self.weights[place[c], k] = w
+
+    def _rows(self, codes: np.ndarray, base: int) -> np.ndarray:
+        """Rows of ``weights`` for codes of some base; 0 where a letter is in no landmark."""
+        if base != self.base:
+            a, b, c = codes // base**2, codes // base % base, codes % base
+            codes = np.where(np.maximum(np.maximum(a, b), c) < self.base, (a * self.base + b) * self.base + c, 0)
+        if self.index is not None:
+            return self.index[codes]
+        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        return np.where(self.known[at] == codes, at + 1, 0)
 
     def kernels(self, units: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray] | None]:
         """For each unit the landmarks with a kernel of at least ``FLOOR`` and these kernels; None without any."""
         out: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-        by_size: dict[int, list[str]] = {}
-        for u in units:
-            by_size.setdefault(len(u), []).append(u)
-        for n, group in by_size.items():
+        by_size: dict[tuple[int, bool], list[str]] = {}
+        usual = self.code.keys()
+        for u in units:  # units with other letters are looked up apart, as that takes more steps
+            by_size.setdefault((len(u), u.isascii() or usual >= set(u)), []).append(u)
+        for group in by_size.values():
             for s in range(0, len(group), 4096):
                 part = group[s : s + 4096]
-                codes, weight, own = subsequence_rows(part)
-                row = self.index[codes]
+                codes, weight, own, base = subsequence_rows(part, self.code)
+                row = self._rows(codes, base)
                 # by Cauchy and Schwarz no kernel is larger than the norm of the part that landmarks have
                 bound = np.flatnonzero(self._norm(row, weight) >= FLOOR * FLOOR * own * 0.999)
                 out.update(dict.fromkeys(part))
@@ -333,8 +355,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str | None],
     parts = [rows.where(F.col("toxic") == k).orderBy("lot", "doc_id").limit(n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     chosen = parts[0].unionByName(parts[1])
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows are broadcast and gathered
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lot", "doc_id", "text", "toxic").collect()
-    got.sort(key=lambda r: (r["lot"], r["doc_id"], r["text"] or ""))
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST_SAMPLE)
+    got = short.join(F.broadcast(chosen), "doc_id").groupBy("lot", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: (r["lot"], r["doc_id"], r["toxic"]))
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
 
