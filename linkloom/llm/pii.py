@@ -10,7 +10,11 @@ falls apart into its stretches exactly. Weights come from maximising the
 conditional likelihood (forward-backward) over labelled sentences that
 ``training_sentences`` generates.
 
-Defined cases: a null text is empty and has no spans; spans are code points,
+A candidate segment lies in a stretch, so what has neither a digit nor an at
+sign (nor a bracketed at or dot) near it is none by definition; of all others
+the model decides.
+
+Defined cases: a null text is empty and has no spans; a null doc_id is kept; spans are code points,
 end exclusive; repeated rows get equal spans; very long texts are read whole
 in linear time; extra columns stay in ``redact`` and are not carried by
 ``digests``.
@@ -384,16 +388,6 @@ def stretches(text: str, taken: list[tuple[int, int, str]]) -> list[list[tuple[i
     return out
 
 
-#: What cannot be an entity: a short token of digits and marks, or a word with few digits.
-_PLAIN = re.compile(r"\W*(?:\w{0,3}[0-9]{0,4}\W*)\Z")
-
-
-def _is_plain(text: str, start: int, end: int) -> bool:
-    """Whether the tokens with signs, from the first to the last, cannot be an entity."""
-    signed = [m for m in _TOKEN.finditer(text, start, end) if _SIGN.search(text, m.start(), m.end())]
-    return not signed or bool(_PLAIN.match(text, signed[0].start(), signed[-1].end()))
-
-
 def added_spans(text: str, base: list[tuple[int, int, str]], w: np.ndarray) -> list[tuple[int, int, str]]:
     """Spans that the model adds; none overlaps a base span."""
     out = []
@@ -404,8 +398,6 @@ def added_spans(text: str, base: list[tuple[int, int, str]], w: np.ndarray) -> l
         else:
             flat.append(s)
     for units in stretches(text, flat):
-        if _is_plain(text, units[0][0], units[-1][1]):
-            continue
         n = len(units)
         segs, x = lattice(text, units)
         scores = x @ w
