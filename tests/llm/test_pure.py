@@ -249,3 +249,126 @@ def test_shingles_are_sets():
     values, offsets = neardup.shingles(rows)
     assert np.diff(offsets).tolist() == [2, 1, 0, 0, 1, 3]
     assert set(values[0:2].tolist()) & set(values[offsets[5] :].tolist())
+
+
+def brute_kernel(u, v):
+    """The gap-weighted kernel from its definition, normalised."""
+
+    def vector(x):
+        out = {}
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                for k in range(j + 1, min(len(x), i + toxicity.SPAN)):
+                    key = x[i], x[j], x[k]
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    a, b = vector(u), vector(v)
+    dot = lambda p, q: sum(w * q.get(key, 0) for key, w in p.items())
+    return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+
+
+@pytest.mark.parametrize("marks", [["idiot", "worthless", "stupid"], ["дурак", "идиот", "idiot"], ["".join(map(chr, range(0x4E00 + 9 * k, 0x4E00 + 9 * k + 9))) for k in range(40)]])
+def test_scores_from_definitions(marks):
+    """Kernels, text features and scores of a model, densely and by definition, in any script."""
+    r = random.Random(4)
+    words = [*marks, *(m[:2] + "x" + m[2:] for m in marks), *(m[1:] for m in marks), "привет", "земля", "你好世界啊", "hello", "idiocy", "дуракаваляние"]
+    bad = toxicity.Landmarks(marks)
+    got = bad.kernels(words)
+    for w in words:
+        want = {k: v for k, m in enumerate(marks) if (v := brute_kernel(w, m)) >= toxicity.FLOOR}
+        have = {} if got[w] is None else dict(zip(got[w][0].tolist(), got[w][1].tolist()))
+        assert have == pytest.approx(want, abs=1e-5)
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 12))) for _ in range(160)]
+    labels = [int(any(w in marks for w in t.split())) for t in texts]
+    model = toxicity.fit(texts, labels)
+    units = model.landmarks.units
+    dense = np.zeros((len(texts), len(units)))
+    for i, t in enumerate(texts):
+        for w in toxicity.words_of(t):
+            for u in toxicity.units_of_word(w):
+                for k, m in enumerate(units):
+                    v = brute_kernel(u, m)
+                    if v >= toxicity.FLOOR:
+                        dense[i, k] = max(dense[i, k], v)
+    features = np.concatenate([dense**p @ m for p, m in zip(toxicity.POWERS, model.maps)], axis=1)
+    z = model.scale[0] * (features @ model.weights + model.bias) + model.scale[1]
+    assert toxicity.text_scores(model, f"test{marks[0]}", texts) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_svm_is_at_its_minimum():
+    """No step from the solution makes the regularised squared hinge smaller by more than a trace."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    y = (x @ rng.normal(size=6) + 0.5 * rng.normal(size=300) > 0.4).astype(np.int64)
+    w, b = toxicity.train_svm(x, y)
+
+    def loss(v):
+        share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum()) * 4.0
+        return 0.5e-3 * (v[:-1] ** 2).sum() + (share * np.maximum(0, 1 - np.where(y > 0, 1, -1) * (x @ v[:-1] + v[-1])) ** 2).sum()
+
+    best = np.append(w, b)
+    here = loss(best)
+    for _ in range(400):
+        assert loss(best + rng.normal(size=7) * rng.choice([1e-3, 1e-2, 0.1])) >= here - 1e-5
+
+
+def test_word_encoder_on_all_code_points():
+    """Every assigned code point in several places of a word, against the library."""
+    import unicodedata
+
+    enc = bitplanes.WordEncoder(PATH)
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+    some = random.Random(1).sample(every, 20_000) + every[:0x3000]
+    for make in (lambda c: c, lambda c: c + ".", lambda c: "a" + c + ",", lambda c: "x" + c + "y$$$", lambda c: "'" + c + "s"):
+        texts = [make(c) for c in some]
+        want = [e.ids for e in LIB.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(g, enc.kind).tolist() for g in enc.encode(texts)] == want
+
+
+def test_word_encoder_forgets():
+    """A memory smaller than the words that come changes nothing."""
+    enc = bitplanes.WordEncoder(PATH)
+    enc.words, enc.room = bitplanes.Remembered(enc.kind, 40), 500
+    texts = [" ".join(f"w{k}x, {chr(97 + k % 26) * (k % 7 + 1)}." for k in range(s, s + 12)) for s in range(0, 300, 5)] + ["a " * 50]
+    for s in range(0, len(texts), 4):
+        want = [np.array(LIB.encode(t, add_special_tokens=False).ids, enc.kind).tobytes() for t in texts[s : s + 4]]
+        assert enc.encode(texts[s : s + 4]) == want
+
+
+def test_narrow_values_meet_in_their_bucket():
+    from linkloom.llm import blocks
+
+    a = np.array([1 << 63, 5, (1 << 64) - 1, 7 << 40, 5 + (1 << 20)], np.uint64)
+    for bits in (0, 3, 24):
+        kept = np.sort(blocks.narrow(a, bits))
+        batch = blocks.send(9, a, None, bits)
+        back = np.concatenate([blocks.unpack(v, False, k)[0] for k, v in zip(batch.column("bucket").to_pylist(), batch.column("vals").to_pylist())])
+        assert sorted(set(back.tolist())) == sorted(set(kept.tolist())) and set(batch.column("block").to_pylist()) == {9}
+
+
+def test_model_alone_decides_on_stretches():
+    """The added spans are the best path over the lattice of the whole text, where segments outside stretches are no candidates."""
+    w = pii.train()
+    r = random.Random(12)
+    texts = [t for t, _ in pii.training_sentences(60, 77)] + ["write to report [at] order.com today"]
+    texts += [" ".join(r.choice(["12", "a1", "3.5", "(7)", "b@", "x", "and", "2024.", "9,", "1-2", "[4]", "q7!", "100%"]) for _ in range(r.randint(1, 9))) for _ in range(100)]
+    for text in texts:
+        base, spans = pii.find_spans(text, w)
+        units, segs, rows = [], [], []
+        for part in pii.stretches(text, [s for s in base]) if not any(a[1] > b[0] for a, b in zip(base, base[1:])) else []:
+            n = len(units)
+            for i, j in pii.lattice(text, part)[0]:
+                segs.append((n + i, n + j))
+                rows.append(pii.span_features(text, part[i][0], part[j - 1][1]))
+            units += part
+        if not segs:
+            continue
+        x = np.zeros((len(segs), w.shape[0]))
+        for k, on in enumerate(rows):
+            x[k, on] = 1
+        scores = x @ w
+        p = pii.marginals(len(units), segs, scores)
+        want = {(units[segs[k][0]][0], units[segs[k][1] - 1][1], pii.KINDS[t]) for k, t in pii.best_path(len(units), segs, scores) if p[k, t] >= pii.LEAST_MARGINAL}
+        assert set(spans) == set(base) | want
+    assert [s for s in pii.find_spans("write to report [at] order.com today", w)[1]] == [(9, 30, "email")]
