@@ -352,3 +352,20 @@ def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFram
 def op3_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as w"
+
+SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_SQL_WORDS} from documents),
+i as (select cast(item_id as varchar) as item, {_SQL_WORDS} from benchmark),
+pattern as (select distinct item, least(len(w), {WINDOW}) as size, array_to_string(w[s : s + least(len(w), {WINDOW}) - 1], ' ') as x
+  from (select item, w, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) as s from i where len(w) > 0)),
+place as (select r, size, s, array_to_string(w[s : s + size - 1], ' ') as x
+  from (select r, w, size, unnest(range(1, len(w) - size + 2)) as s from d, (select distinct size from pattern) where len(w) >= size)),
+met as (select r, s, place.size, item from place join pattern on pattern.x = place.x and pattern.size = place.size),
+hit as (select r, count(distinct p) as n from (select r, s + unnest(range(0, size)) as p from met) group by r),
+found as (select r, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct r, item from met where item is not null) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(found.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from d left join hit on hit.r = d.r left join found on found.r = d.r
+"""

@@ -173,3 +173,16 @@ def _run(docs: DataFrame, window: int, schema: str, shown) -> DataFrame:
 def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return repeated_words(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') as w from documents),
+win as (select r, s, md5(array_to_string(w[s : s + {WINDOW - 1}], ' ')) as h from (select r, w, unnest(range(1, len(w) - {WINDOW - 2})) as s from d where len(w) >= {WINDOW})),
+hit as (select r, s from win where h in (select h from win group by h having count(*) > 1)),
+gone as (select distinct r, s + k as p from (select r, s, unnest(range(0, {WINDOW})) as k from hit)),
+word as (select r, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select word.r, string_agg(x, ' ' order by word.p) as t from word anti join gone on gone.r = word.r and gone.p = word.p group by word.r),
+lost as (select r, count(*) as n from gone group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept on kept.r = d.r left join lost on lost.r = d.r
+"""
