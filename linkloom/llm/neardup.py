@@ -60,6 +60,8 @@ LINK_BLOCK, LINK_CHUNK = 64, 1 << 14
 LEADER_ROUNDS = 2
 #: Hash functions of a signature; least chance that a pair at the threshold meets in a bucket.
 HASHES, LEAST_CHANCE = 160, 0.94
+#: Share of its shingles that a text must have in common with a longer one, among those it asks for, beyond the first.
+MORE = 0.06
 #: Shingles that go through all hash functions while they lie in the processor's cache.
 CACHED = 1 << 15
 
@@ -221,25 +223,29 @@ def _wide_pairs(sets: DataFrame) -> DataFrame:
     """(id, lead): candidate pairs further apart in size than bands look, the smaller text first.
 
     Of a contained text at most a share 1 - CONTAINMENT of the shingles is
-    missing in the other, so among its rarest shingles, one more than that
-    share of them, one at least is in both. Shingles of one text only are the
-    rarest and need no look-up; a text that has more of them than may be
-    missing is contained nowhere.
+    missing in the other. So of any shingles of it that are more than may be
+    missing by k, k at least are in both. Chosen are first those that no text
+    so much longer has, which need no look-up (a text with too many of them is
+    contained nowhere), then the rarest; k grows with the text by ``MORE``.
     """
-    rows = sets.select("id", "n", F.explode("s").alias("h"))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.max("n").alias("top"))
-    may = F.floor(F.col("n") * (1 - CONTAINMENT) + 1e-9) + 1 - (F.col("n") - F.size("s"))
-    able = sets.withColumn("most", may.cast("int")).where("most > 0")
-    own = able.select("id", "n", "most", F.explode("s").alias("h")).join(often.where("f > 1"), "h")
-    rare = own.groupBy("id", "n", "most").agg(F.sort_array(F.collect_list(F.struct("f", "h", "top"))).alias("s"))
-    asks = rare.select(F.col("id").alias("a"), F.col("n").alias("m"), F.explode(F.slice("s", 1, F.col("most"))).alias("x")).select("a", "m", F.col("x.h").alias("h"), F.col("x.top").alias("top"))
-    # only what some longer text has is worth asking for, and only texts longer than some that ask can answer
-    asks = materialize(asks.where(~_in_bands("m", "top")).select("a", "m", "h"), "asks")
+    able = F.size("s") >= F.col("n") * CONTAINMENT - 1e-9
+    # the sign of n tells who may ask; each shingle travels once, for the counts and for the rows
+    rows = sets.select("id", F.when(able, F.col("n")).otherwise(-F.col("n")).alias("n"), F.explode("s").alias("h")).repartition("h")
+    facts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.max(F.abs("n")).alias("top"), F.min(F.when(F.col("n") > 0, F.col("n"))).alias("low"))
+    longer = lambda n, m: F.col(n) > F.floor(F.col(m) * RATIO + 1e-9)
+    both = rows.join(facts.where(longer("top", "low")), "h").select("h", "id", F.abs("n").alias("n"), "f", ((F.col("n") > 0) & longer("top", "n")).alias("asks"), (F.abs("n") > F.floor(F.col("low") * RATIO + 1e-9)).alias("answers"))
+    used = materialize(both.where("asks or answers"), "shared")
+    may = F.floor(F.col("n") * (1 - CONTAINMENT) + 1e-9)
+    more = F.floor(F.col("n") * MORE)
+    own = used.where("asks").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s")).withColumn("missing", F.col("n") - F.size("s")).where(F.col("missing") <= may)
+    own = own.withColumn("k", (more + 1).cast("int")).withColumn("ask", F.slice("s", 1, (may + 1 + more - F.col("missing")).cast("int")))
+    asks = materialize(own.select(F.col("id").alias("a"), F.col("n").alias("m"), "k", F.explode("ask.h").alias("h")), "asks")
     least = asks.groupBy("h").agg(F.min("m").alias("low"))
-    posts = rows.join(least, "h").where((F.col("n") > F.col("low")) & ~_in_bands("n", "low")).select("h", "id", "n")
-    met = asks.join(posts, "h").where((F.col("n") > F.col("m")) & ~_in_bands("m", "n") & _sizes_fit("m", "n"))
-    out = materialize(met.select(F.col("a").alias("id"), F.col("id").alias("lead")).distinct(), "wide")
+    posts = used.where("answers").join(least, "h").where(longer("n", "low")).select("h", "id", "n")
+    met = asks.join(posts, "h").where(longer("n", "m") & _sizes_fit("m", "n"))
+    out = materialize(met.groupBy("a", "id", "k").agg(F.count(F.lit(1)).alias("c")).where("c >= k").select(F.col("a").alias("id"), F.col("id").alias("lead")), "wide")
     drop_table(asks)
+    drop_table(used)
     return out
 
 
@@ -367,7 +373,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = one.join(lead, ["doc_id", "key"]).groupBy(F.col("doc_id").alias("id")).agg(F.first(F.lower("text")).alias("text"))
     stored = blocks.into_blocks(texts)
     sketch = materialize(_sketch(stored), "sketch")
-    rows = sketch.select("id", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
+    rows = sketch.select("id", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).repartition("bucket")  # both uses read one exchange
     shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     live = materialize(rows.join(shared, "bucket"), "buckets")
     sizes = materialize(sketch.select("id", "n_shingles"), "sizes")
