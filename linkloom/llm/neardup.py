@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import blocks
 from linkloom.llm.blocks import PIECE_BYTES
-from linkloom.llm.common import batches_of, mix, small_batches, table, text_bytes, word_hashes, word_spans
+from linkloom.llm.common import batches_of, kept, mix, small_batches, table, text_bytes, word_hashes, word_spans
 from linkloom.llm.components import connected_components
 from linkloom.llm.substrings import Rolling
 from linkloom.plans.tables import drop_path, drop_table, materialize, release
@@ -181,7 +181,8 @@ def _sketch(docs: DataFrame) -> DataFrame:
     """id, n_shingles and bucket hashes of each (id, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches_of(it, PIECE_BYTES, "text"):
+        kept("neardup", "", dict)  # what another stage remembers goes
+        for rows in batches_of(it, PIECE_BYTES // 2, "text"):
             values, offsets = shingles(rows)
             sizes = np.diff(offsets)
             buckets = band_hashes(signatures(values, offsets), sizes)
@@ -202,14 +203,14 @@ def _sets(stored: DataFrame, total: int) -> DataFrame:
         yield blocks.send(block, shingles(rows)[0], None, bits)
 
     path = blocks.repeats(blocks.map_blocks(stored, find, blocks.SENT), False, bits)
-    kept: dict[int, np.ndarray] = {}
+    last: dict[int, np.ndarray] = {}
 
     def keep(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         values, offsets = shingles(rows)
-        if block not in kept:
-            kept.clear()
-            kept[block] = blocks.block_repeats(path, block, False)[0]
-        hit = blocks.member(blocks.narrow(values, bits), None, kept[block], None)
+        if block not in last:
+            last.clear()
+            last[block] = blocks.block_repeats(path, block, False)[0]
+        hit = blocks.member(blocks.narrow(values, bits), None, last[block], None)
         at = np.concatenate([[0], np.cumsum(hit)])[offsets]
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values[hit].view(np.int64)))
         yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(np.diff(offsets), pa.int64()), lists], names=["id", "n", "s"])
@@ -274,9 +275,9 @@ def _labelled(live: DataFrame, linked: DataFrame | None) -> DataFrame:
     return live.join(linked.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
 
 
-def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _check(pairs: DataFrame, sets: DataFrame, leads: DataFrame) -> DataFrame:
     """(id, lead, ok): the exact test of candidate pairs; the set of ``id`` travels with the pair."""
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("n").alias("m"), F.col("s").alias("t")), "lead")
+    both = pairs.join(sets, "id").join(leads.select(F.col("id").alias("lead"), F.col("n").alias("m"), F.col("s").alias("t")), "lead")
     return both.select("id", "lead", passes("s", "n", "t", "m").alias("ok"))
 
 
@@ -384,8 +385,13 @@ def classes(docs: DataFrame) -> DataFrame:
     drop_table(stored)
     release(spark)
     wide = _wide_pairs(sets)
-    far = materialize(_check(wide, sets).where("ok").select("id", "lead"), "far")
+    # only texts that have so much in common with others can have a link to one of like size, or be contained in a longer one
+    near = materialize(sets.where(F.size("s") >= F.col("n") * CONTAINMENT / RATIO - 1e-9), "near")
+    far = materialize(_check(wide, near, sets).where("ok").select("id", "lead"), "far")
     drop_table(wide)
+    drop_table(sets)
+    live0, live = live, materialize(live.join(near.select("id"), "id", "left_semi"), "buckets")
+    drop_table(live0)
     release(spark)
     checked = None
     linked = None
@@ -397,7 +403,7 @@ def classes(docs: DataFrame) -> DataFrame:
         if checked is not None:
             pairs = pairs.join(checked.select("id", "lead"), ["id", "lead"], "left_anti")
         pairs = pairs.groupBy("id").agg(F.min("lead").alias("lead"))
-        fresh = materialize(_check(pairs, sets), "checked")
+        fresh = materialize(_check(pairs, near, near), "checked")
         release(spark)
         if fresh.isEmpty():
             break
@@ -413,16 +419,16 @@ def classes(docs: DataFrame) -> DataFrame:
     cross = label2.join(other, "bucket").where("id > lead and c <> d").where(_in_bands("n", "m")).select("id", "lead").distinct()
     if checked is not None:
         cross = cross.join(checked.select("id", "lead"), ["id", "lead"], "left_anti")
-    more = materialize(_check(cross, sets), "checked")
+    more = materialize(_check(cross, near, near), "checked")
     checked = more if checked is None else checked.unionByName(more)
     if linked is None or not more.where("ok").isEmpty():
         drop_table(linked)
         linked = materialize(connected_components(_edges(checked)), "classes")
     release(spark)
     ends = far.select(F.explode(F.array("id", "lead")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    degree = materialize(count_links(linked, sets).unionByName(ends).groupBy("node").agg(F.sum("n").alias("n_links")), "links")
+    degree = materialize(count_links(linked, near).unionByName(ends).groupBy("node").agg(F.sum("n").alias("n_links")), "links")
     top = materialize(_attached(linked, far), "tops")
-    for t in (live, sets, label, far):
+    for t in (live, near, label, far):
         drop_table(t)
     release(spark)
     inner = member.join(linked, member.copy_of == F.col("node"), "left").select("doc_id", "copy_of", "n_copies", F.coalesce("component", "copy_of").alias("component"))
