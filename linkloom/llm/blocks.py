@@ -27,7 +27,7 @@ RESIDUAL = 40
 #: Bytes of values that a bucket holds at most, about.
 BUCKET_BYTES = 6 << 20
 #: Blocks whose repeated values lie in one folder.
-SHELF = 16
+SHELF = 4
 
 
 def into_blocks(docs: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def send(block: int, a: np.ndarray, b: np.ndarray | None, bits: int) -> pa.Recor
 
 
 #: Text bytes of a piece of a block that a task holds at once, about; a single longer text is a piece of its own.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 4 << 20
 
 
 def by_block(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
