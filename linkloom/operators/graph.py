@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +66,7 @@ def trim(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, list
         gone = materialize(lost.join(kept.select(F.col("src").alias("id")), "id", "left_anti").join(old_dead, "id", "left_anti"), "gone")
         drop_table(e)
         e = kept
-    alive = nodes
-    for d in dead:
-        alive = alive.join(d, "id", "left_anti")
+    alive = nodes.join(reduce(DataFrame.unionByName, dead), "id", "left_anti") if dead else nodes
     return alive, e, removed
 
 

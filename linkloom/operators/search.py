@@ -76,4 +76,4 @@ def path_steps(paths: DataFrame) -> DataFrame:
 
 def show_path(paths: DataFrame) -> DataFrame:
     """(query_id, line): the path by arrows, or that there is none."""
-    return paths.select("query_id", F.when(F.col("status") == "ok", F.array_join("path", " -> ")).when(F.col("status") == "no_path", "No path found").otherwise("not in the graph").alias("line"))
+    return paths.select("query_id", F.when(F.col("status") == "ok", F.array_join("path", " -> ")).when(F.col("status") == "no_path", "No path found").when(F.col("status") == "start_missing", "start is not in the graph").otherwise("target is not in the graph").alias("line"))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
 from linkloom.operators import graph, lookup, resolve, search
+from linkloom import build
 from linkloom.plans import fixtures as fx
-from linkloom.plans.tables import materialize
-from linkloom.sources import dumps
+from linkloom.plans.tables import arrow_fs, materialize, new_path
+from linkloom.sources import binfmt, dumps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,9 +103,9 @@ def string_functions(spark, sf):
     )
 
 
-@query("select o_orderkey, cast(strftime(o_orderdate, '%Y%m%d') as integer) - 20000000 dump_date, strftime(o_orderdate, '%Y.%m.%d') shown from orders where o_orderdate >= timestamp '2000-01-01'")
+@query("select o_orderkey, cast(strftime(o_orderdate, '%Y%m%d') as integer) - 20000000 dump_date, strftime(o_orderdate, '%Y.%m.%d') shown from orders")
 def dump_dates(spark, sf):
-    o = fx.load(spark, sf, "orders").where("o_orderdate >= timestamp '2000-01-01'")
+    o = fx.load(spark, sf, "orders")
     d = text.dump_date(F.concat(F.lit("xxwiki-"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-page.sql.gz")))
     return o.select("o_orderkey", d.alias("dump_date"), text.show_date(d).alias("shown"))
 
@@ -121,13 +123,12 @@ def dense_page_ids(spark, sf):
 _REDIRECT = "r as (select c_custkey s, (c_custkey + 1) % (select count(*) from customer) t from customer where c_mktsegment = 'MACHINERY')"
 
 
-@query(f"with {_REDIRECT} select r.s src, r.t dst from r where r.s % 5 <> 0 and r.t % 7 <> 0")
+@query(f"with {_REDIRECT}, p as (select c_custkey k from customer where c_nationkey <> 3) select r.s src, r.t dst from r where r.s in (select k from p) and r.t in (select k from p)")
 def redirect_semi_inner(spark, sf):
     p = fx.pages(spark, sf)
-    rows = fx.redirects(spark, sf).join(p.withColumnsRenamed({"old_id": "dst"}), "dst").select(F.col("src").alias("src_old_id"), F.lit(0).alias("ns"), "title")
-    sources, targets = p.where("old_id % 5 <> 0"), p.where("old_id % 7 <> 0")
-    # what is a page as a source and what is one as a target differ here, to show both joins
-    return resolve.resolve_redirects(rows.join(sources, rows.src_old_id == sources.old_id, "left_semi"), targets, "resolve")
+    rows = fx.redirects(spark, sf).join(p.withColumnRenamed("old_id", "dst"), "dst").select(F.col("src").alias("src_old_id"), F.lit(0).alias("ns"), "title")
+    known = fx.load(spark, sf, "customer").where("c_nationkey <> 3").select(F.col("c_custkey").alias("old_id"), F.col("c_name").alias("title"))
+    return resolve.resolve_redirects(rows, known, "strict")
 
 
 @query(f"""with recursive {_REDIRECT}, ch(s, t, h) as (select s, t, 1 from r union all select ch.s, r.t, h + 1 from ch join r on r.s = ch.t where h < 101)
@@ -145,14 +146,15 @@ def link_source_remap(spark, sf):
     return resolve.remap_sources(l, r, ids).select("k", "src")
 
 
-@query("""select o_custkey src, c.c_custkey dst from orders join customer c on c.c_custkey = o_orderkey % 2000 where o_orderkey % 3 = 0 and o_custkey <> c.c_custkey""")
+@query("""select o_custkey src, c.c_custkey dst from orders join customer c on c.c_custkey = o_orderkey % (select count(*) from customer) where o_orderstatus = 'O' and o_custkey <> c.c_custkey""")
 def link_target_resolve(spark, sf):
     c = fx.load(spark, sf, "customer").select(F.col("c_custkey").alias("new_id"), F.col("c_name").alias("title"))
-    named = fx.load(spark, sf, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 3).alias("ns"), F.format_string("Customer#%09d", F.col("o_orderkey") % 2000).alias("title"))
+    ns = F.when(F.col("o_orderstatus") == "O", 0).otherwise(1)
+    named = fx.load(spark, sf, "orders").select(F.col("o_custkey").alias("src"), ns.alias("ns"), F.format_string("Customer#%09d", F.col("o_orderkey") % c.count()).alias("title"))
     return resolve.resolve_targets(named, c)
 
 
-@query("""with l as (select o_custkey s, o_orderkey % 1700 t from orders), p as (select c_custkey k from customer where c_mktsegment <> 'MACHINERY'),
+@query("""with l as (select o_custkey s, o_orderkey % (select count(*) from customer) t from orders), p as (select c_custkey k from customer where c_mktsegment <> 'MACHINERY'),
   r as (select c_custkey k, c_custkey + 1 t from customer where c_mktsegment in ('MACHINERY', 'BUILDING'))
   select l.s src, coalesce(p.k, q.k) dst from l left join p on p.k = l.t left join r on r.k = l.t left join p q on q.k = r.t where coalesce(p.k, q.k) is not null""")
 def xml_target_fallback(spark, sf):
@@ -160,7 +162,7 @@ def xml_target_fallback(spark, sf):
     name = lambda k: F.format_string("t%d", k)
     pages = c.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("new_id"), name(F.col("c_custkey")).alias("title"))
     red = c.where("c_mktsegment in ('MACHINERY', 'BUILDING')").select(name(F.col("c_custkey")).alias("title"), name(F.col("c_custkey") + 1).alias("target"))
-    l = fx.load(spark, sf, "orders").select(F.col("o_custkey").alias("src"), name(F.col("o_orderkey") % 1700).alias("title"))
+    l = fx.load(spark, sf, "orders").select(F.col("o_custkey").alias("src"), name(F.col("o_orderkey") % c.count()).alias("title"))
     return resolve.resolve_targets(l, pages, red, drop_self=False)
 
 
@@ -281,7 +283,7 @@ def path_steps(spark, sf):
     return search.path_steps(_paths(spark, sf))
 
 
-@query(_PATHS + """, lost as (select a.query_id, case when a.s not in (select id from alive) or a.t not in (select id from alive) then 'not in the graph' else 'No path found' end line
+@query(_PATHS + """, lost as (select a.query_id, case when a.s not in (select id from alive) or a.t not in (select id from alive) then (case when a.s not in (select id from alive) then 'start' else 'target' end) || ' is not in the graph' else 'No path found' end line
   from asked a where a.query_id not in (select query_id from named)) select * from lost""")
 def no_path_report(spark, sf):
     return search.show_path(_paths(spark, sf).where("status <> 'ok'"))
@@ -313,3 +315,101 @@ def dump_index(spark, sf):
 def duration_format(spark, sf):
     e = fx.load(spark, sf, "events").select(F.round("value", 0).alias("value")).distinct()
     return e.select("value", text.show_duration(F.col("value")).alias("shown"))
+
+
+def _zipped(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Lines that went through gzipped files."""
+    path = new_path(spark, "dump")
+    lines.write.option("compression", "gzip").text(path)
+    return dumps.read_lines(spark, path, spark.sparkContext.defaultParallelism)
+
+
+def _dumps(spark: SparkSession, sf: str, redirected: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Page, redirect and link tables of the customers' graph, read from gzipped statements.
+
+    Machinery customers are redirect pages; those of segment ``redirected`` have a redirect to the next customer.
+    """
+    c, n = fx.load(spark, sf, "customer"), fx.load(spark, sf, "customer").count()
+    name = lambda k: fx.quoted(F.format_string("Customer#%09d", k))
+    rest = [F.lit(x) for x in ("0", "0.5", "'2022'", "'2022'", "1", "'wikitext'", "NULL")]
+    flag = F.when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(0)
+    pages = fx.render(c, "page", "c_custkey", [F.col("c_custkey"), F.lit(0), fx.quoted(F.col("c_name")), F.lit(0), flag, *rest])
+    red = c.where(F.col("c_mktsegment") == redirected)
+    red = fx.render(red, "redirect", "c_custkey", [F.col("c_custkey"), F.lit(0), name((F.col("c_custkey") + 1) % n), F.lit("''"), F.lit("NULL")])
+    links = fx.render(fx.links(spark, sf).select("src", "dst"), "pagelinks", "src", [F.col("src"), F.lit(0), name(F.col("dst")), F.lit(0)])
+    return dumps.read_pages(_zipped(spark, pages)), dumps.read_redirects(_zipped(spark, red)), dumps.read_links(_zipped(spark, links))
+
+
+_ART = "art as (select c_custkey k from customer where c_mktsegment <> 'MACHINERY')"
+_BUILT = """, w(k, id) as (select 0, k from art union select k + 1, x.s from w join x on x.d = w.id where k < 64), alive as (select id from w group by id having max(k) = 64),
+  ids as (select id, cast(row_number() over (order by id) - 1 as integer) n from alive) select a.n src, b.n dst from x join ids a on a.id = x.s join ids b on b.id = x.d"""
+
+
+@query(f"""with recursive {_MULTI}, {_ART}, r as (select c_custkey s, (c_custkey + 1) % (select count(*) from customer) t from customer where c_mktsegment = 'BUILDING'),
+  q as (select s, t from r where t in (select k from art)), ch(s, t, h) as (select s, t, 1 from q union all select ch.s, q.t, h + 1 from ch join q on q.s = ch.t where h < 101),
+  ends as (select s, t from ch where t not in (select s from q)),
+  x as (select coalesce(ends.t, art.k) s, e.d from e left join ends on ends.s = e.s left join art on art.k = e.s where coalesce(ends.t, art.k) <> e.d and e.d in (select k from art)){_BUILT}""")
+def dump_build_strict(spark, sf):
+    return build.from_tables(*_dumps(spark, sf, "BUILDING"), "strict")[1]
+
+
+@query(f"""with recursive {_MULTI}, {_ART}, {_REDIRECT}, ch(s, t, h) as (select s, t, 1 from r union all select ch.s, r.t, h + 1 from ch join r on r.s = ch.t where h < 101),
+  ends as (select s, t from ch where t not in (select s from r)),
+  x as (select coalesce(a.t, p.k) s, coalesce(q.k, b.t) d from e left join ends a on a.s = e.s left join art p on p.k = e.s left join ends b on b.s = e.d left join art q on q.k = e.d
+    where coalesce(a.t, p.k) <> coalesce(q.k, b.t)){_BUILT}""")
+def dump_build_resolve(spark, sf):
+    return build.from_tables(*_dumps(spark, sf, "MACHINERY"), "resolve")[1]
+
+
+@query(f"""with recursive {_URGENT}, {_ART}, {_REDIRECT},
+  x as (select e.s, coalesce(p.k, q.k) d from e left join art p on p.k = e.d left join r on r.s = e.d left join art q on q.k = r.t where e.s in (select k from art) and coalesce(p.k, q.k) is not null){_BUILT}""")
+def xml_build(spark, sf):
+    c, n = fx.load(spark, sf, "customer"), fx.load(spark, sf, "customer").count()
+    name = lambda k: F.format_string("C%09d", k)
+    out = fx.links(spark, sf).groupBy(F.col("src").alias("c_custkey")).agg(F.array_join(F.collect_list(F.concat(F.lit("[["), name(F.col("dst")), F.lit("|see]] "))), "").alias("text"))
+    to = F.when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit('<redirect title="'), name((F.col("c_custkey") + 1) % n), F.lit('" />'))).otherwise("")
+    page = F.concat(F.lit("<page><title>"), name(F.col("c_custkey")), F.lit("</title><ns>0</ns>"), to, F.lit("<revision><text>"), F.coalesce("text", F.lit("")), F.lit("</text></revision></page>"))
+    path = new_path(spark, "xml")
+    ends = spark.createDataFrame([(-1, "<mediawiki>"), (1 << 60, "</mediawiki>")], "k long, value string")
+    lines = c.join(out, "c_custkey", "left").select(F.col("c_custkey").cast("long").alias("k"), page.alias("value")).unionByName(ends)
+    lines.repartition(1).sortWithinPartitions("k").select("value").write.text(path)  # a dump is one document
+    return build.from_xml(dumps.read_xml(spark, path))[1]
+
+
+def _graph_files(spark: SparkSession, sf: str) -> dict[str, tuple[str, str, int]]:
+    """By name the path, layout and format number of files of one graph: each layout, one packed, one updated."""
+    import lzma
+
+    nodes, edges = fx.graph(spark, sf)
+    edges = materialize(edges, "edges")
+    folder = new_path(spark, "files")
+    files = {k: (f"{folder}/{k}", k, 1) for k in "ABC"} | {"packed": (f"{folder}/packed", "C", 1), "updated": (f"{folder}/updated", "A", 2)}
+    for k in "ABC":
+        binfmt.write_graph(nodes, edges, files[k][0], k)
+    fs, base = arrow_fs(folder)
+    with fs.open_input_stream(f"{base}/C") as source, fs.open_output_stream(f"{base}/packed") as out:
+        out.write(lzma.compress(source.read()))
+    binfmt.update_graph(spark, files["A"][0], files["updated"][0])
+    return files
+
+
+_FILES = "f(file, version) as (values ('A', 1), ('B', 1), ('C', 1), ('packed', 1), ('updated', 2))"
+
+
+@query(f"with {_MULTI}, {_FILES} select file, cast(s as integer) src, cast(row_number() over (partition by file, s order by d) - 1 as integer) pos, cast(d as integer) dst from e, f")
+def graph_file_edges(spark, sf):
+    parts = [binfmt.read_edges(spark, path, layout, version).select(F.lit(k).alias("file"), "src", "pos", "dst") for k, (path, layout, version) in _graph_files(spark, sf).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"with {_FILES} select file, cast(c_custkey as integer) id, c_name title from customer, f")
+def graph_file_nodes(spark, sf):
+    parts = [binfmt.read_nodes(spark, path, layout, version).select(F.lit(k).alias("file"), "id", "title") for k, (path, layout, version) in _graph_files(spark, sf).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""with {_MULTI}, {_FILES} select file, cast(221201 as bigint) dump_date, cast(version as bigint) as version, (select count(*) from customer) n_pages, (select count(*) from e) total_links,
+  (select cast(sum(octet_length(encode(c_name))) as bigint) from customer) total_title_bytes from f""")
+def graph_file_headers(spark, sf):
+    parts = [binfmt.read_header(spark, path, layout, version).withColumn("file", F.lit(k)) for k, (path, layout, version) in _graph_files(spark, sf).items()]
+    return reduce(DataFrame.unionByName, parts)

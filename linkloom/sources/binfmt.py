@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.graph import adjacency
-from linkloom.plans.tables import drop_table, materialize
+from linkloom.plans.tables import arrow_fs, drop_table, materialize, qualified
 
 MAGIC = b"WIKI"
 LIMIT = 65_536
@@ -111,7 +111,7 @@ def read_edges(spark: SparkSession, path: str, layout: str = "C", version: int |
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, layout: str = "C", date: int = 221201, version: int = 1) -> None:
-    """Write one file at a local path. Nodes have ids 0 to n - 1.
+    """Write one file, anywhere Spark can write to. Nodes have ids 0 to n - 1.
 
     Every task packs its range of ids; the driver only strings the packed
     pieces together, one at a time, since the format is a single file.
@@ -136,7 +136,9 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, layout: str = "C"
     packed = materialize(full.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "section int, first long, part binary"), "packed")
     n = nodes.count()
     size = {r["section"]: r["n"] for r in packed.groupBy("section").agg(F.sum(F.octet_length("part")).alias("n")).collect()}
-    with open(path, "wb") as out:
+    fs, place = arrow_fs(qualified(nodes.sparkSession, path))
+    fs.create_dir(place.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(place) as out:
         out.write(header(date, version, layout, n, size.get(1, 0) // 4, size.get(3, 0)))
         for section in range(4):
             for r in packed.where(F.col("section") == section).orderBy("first").select("part").toLocalIterator():
