@@ -203,6 +203,7 @@ def _sets(stored: DataFrame, total: int) -> DataFrame:
         yield blocks.send(block, shingles(rows)[0], None, bits)
 
     path = blocks.repeats(blocks.map_blocks(stored, find, blocks.SENT), False, bits)
+    release(stored.sparkSession)
     last: dict[int, np.ndarray] = {}
 
     def keep(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -371,8 +372,10 @@ def classes(docs: DataFrame) -> DataFrame:
     drop_table(keyed)
     # each text once, under the least doc_id that has it
     lead = member.where("key is not null and doc_id = copy_of").select("doc_id", "key")
-    texts = one.join(lead, ["doc_id", "key"]).groupBy(F.col("doc_id").alias("id")).agg(F.first(F.lower("text")).alias("text"))
-    stored = blocks.into_blocks(texts)
+    # grouped by what joins them, so that the texts travel once
+    texts = one.join(lead, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first(F.lower("text")).alias("text"))
+    stored = blocks.into_blocks(texts.select(F.col("doc_id").alias("id"), "text"))
+    release(spark)
     sketch = materialize(_sketch(stored), "sketch")
     rows = sketch.select("id", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).repartition("bucket")  # both uses read one exchange
     shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")

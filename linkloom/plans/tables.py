@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow.fs as pafs
@@ -114,9 +115,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of steps that are over; it does so when the driver's garbage is collected."""
+    """Have Spark delete the shuffle files of steps that are over.
+
+    It does so when the driver's garbage is collected: those of the step that
+    has just ended mostly at the second time only, a moment later.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.3)
+    spark._jvm.System.gc()
 
 
 def with_position(df: DataFrame, order: list, name: str = "position") -> DataFrame:

@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from contextlib import suppress
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +229,49 @@ def test_links_of_large_classes_are_counted(spark):
     assert {k: got[k]["class_id"] for k in sets} == {k: 0 for k in sets}
 
 
+def test_near_dedup_holds_few_shuffle_files(spark, monkeypatch):
+    """The texts are shuffled once, and what a step has shuffled is gone before later ones add theirs."""
+    r = random.Random(40)
+    data = [(k, " ".join(f"{r.randrange(1 << 16):04x}" for _ in range(400))) for k in range(300)]
+    whole = sum(len(t) for _, t in data)
+    folders = [Path(f.getPath()) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*.data")}
+    old, held = files(), {}
+
+    def size():
+        total = 0
+        for f in files() - old:
+            with suppress(FileNotFoundError):
+                total += f.stat().st_size
+        return total / whole
+
+    def into_blocks(docs, real=neardup.blocks.into_blocks):
+        out = real(docs)
+        held["blocks"] = size()
+        return out
+
+    def materialize(df, name, real=neardup.materialize):
+        if name in ("sketch", "sets"):
+            end = time.time() + 20
+            while (left := size()) > 0.3 and time.time() < end:  # Spark deletes them in a thread of its own
+                time.sleep(0.1)
+            held[name] = left
+        return real(df, name)
+
+    monkeypatch.setattr(neardup.blocks, "into_blocks", into_blocks)
+    monkeypatch.setattr(neardup, "materialize", materialize)
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for x in limits:  # as with large tables
+            spark.conf.set(x, "-1")
+        got = neardup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    finally:
+        for x in limits:
+            spark.conf.unset(x)
+    assert {x["doc_id"]: x["class_id"] for x in got} == {k: k for k, _ in data}
+    assert 0.5 < held["blocks"] < 1.5 and held["sketch"] < 0.3 and held["sets"] < 0.3, held
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 430)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
