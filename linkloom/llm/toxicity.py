@@ -48,6 +48,8 @@ LEAST_GAIN = 4.0
 POWERS = (5, 16)
 #: A kernel below this counts as none.
 FLOOR = 0.55
+#: Groups of landmarks whose kernels have one upper bound.
+GROUPS = 48
 SAMPLE_TOXIC, SAMPLE_CLEAN, PADDED = 2500, 4500, 800
 #: Bytes of the longest text that is sampled for training: with the numbers above a bound of what the driver gathers.
 LONGEST_SAMPLE = 32 << 10
@@ -57,15 +59,20 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâáãéèêëíîïìóôòõú
 _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}
 _STANDS_FOR = str.maketrans("013457@$", "oieastas")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
+_AT_THE_END = ".,;:!?%&#$*|)\"'"
 
 
 def units_of_word(word: str) -> list[str]:
     """Units of a white-space separated word."""
     w = word.lower()
     if not w.isalpha():
-        if any(c.isalpha() for c in w):
-            w = w.rstrip(".,;:!?%&#$*|)\"'").translate(_STANDS_FOR)
-        w = _NOT_LETTER.sub("", w)
+        bare = w.rstrip(_AT_THE_END)
+        if bare.isalpha():  # most words that are not all letters
+            w = bare
+        else:
+            if any(c.isalpha() for c in w):
+                w = bare.translate(_STANDS_FOR)
+            w = _NOT_LETTER.sub("", w)
     if len(w) <= UNIT:
         return [w] if len(w) >= ORDER else []
     half = UNIT // 2
@@ -121,6 +128,8 @@ class Landmarks:
     units: list[str]
     index: np.ndarray | None = field(init=False, default=None)
     weights: np.ndarray = field(init=False)
+    #: the largest weight of each code in each group of landmarks
+    most: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         #: the letters of landmarks beyond the usual ones get codes too
@@ -144,6 +153,29 @@ class Landmarks:
         for k, d in enumerate(rows):
             for c, w in d.items():
                 self.weights[place[c], k] = w
+        self.letters = np.zeros(max(map(ord, self.code)) + 2, np.int32)  # the last one is any letter that no landmark has
+        self.letters[[*map(ord, self.code)]] = [*self.code.values()]
+        self.most = np.zeros((len(known) + 1, 1), np.float32)
+        if not self.units:
+            return
+        alike = self.weights.T @ self.weights
+        heads = [0]
+        while len(heads) < min(GROUPS, len(self.units)):  # the landmark least like all heads so far
+            heads.append(int(alike[heads].max(axis=0).argmin()))
+        group = alike[heads].argmax(axis=0)
+        self.most = np.stack([self.weights[:, group == g].max(axis=1, initial=0) for g in range(len(heads))], axis=1)
+
+    def _bounds(self, units: list[str]) -> tuple[np.ndarray, float]:
+        """For units of one length: an upper bound of their kernels with all landmarks before it is divided by the norm
+        of the unit, and the least norm that a unit of this length has (that of one whose subsequences all differ)."""
+        at, weight = _subsequences(len(units[0]))
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(units), -1)
+        c = self.letters[np.minimum(points, len(self.letters) - 1)].astype(np.int64)
+        row = self._rows((c[:, at[:, 0]] * self.base + c[:, at[:, 1]]) * self.base + c[:, at[:, 2]], self.base)
+        bound = np.zeros((len(units), self.most.shape[1]), np.float32)
+        for j, w in enumerate(weight.tolist()):
+            bound += w * self.most[row[:, j]]
+        return bound.max(axis=1), float(np.sqrt((weight.astype(np.float64) ** 2).sum()))
 
     def _rows(self, codes: np.ndarray, base: int) -> np.ndarray:
         """Rows of ``weights`` for codes of some base; 0 where a letter is in no landmark."""
@@ -157,43 +189,37 @@ class Landmarks:
 
     def kernels(self, units: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray] | None]:
         """For each unit the landmarks with a kernel of at least ``FLOOR`` and these kernels; None without any."""
-        out: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-        by_size: dict[tuple[int, bool], list[str]] = {}
+        out: dict[str, tuple[np.ndarray, np.ndarray] | None] = dict.fromkeys(units)
+        by_size: dict[int, list[str]] = {}
+        for u in out:
+            by_size.setdefault(len(u), []).append(u)
         usual = self.code.keys()
-        for u in units:  # units with other letters are looked up apart, as that takes more steps
-            by_size.setdefault((len(u), u.isascii() or usual >= set(u)), []).append(u)
         for group in by_size.values():
+            most: dict[str, float] = {}
             for s in range(0, len(group), 4096):
                 part = group[s : s + 4096]
+                bound, least = self._bounds(part)
+                may = np.flatnonzero(bound >= 0.999 * FLOOR * least)
+                most.update(zip([part[i] for i in may.tolist()], bound[may].tolist()))
+            # units with other letters are looked up apart, as that takes more steps
+            plain = [u for u in most if u.isascii() or usual >= set(u)]
+            other = [] if len(plain) == len(most) else [u for u in most if not (u.isascii() or usual >= set(u))]
+            for part in (some[s : s + 4096] for some in (plain, other) for s in range(0, len(some), 4096)):
                 codes, weight, own, base = subsequence_rows(part, self.code)
-                row = self._rows(codes, base)
-                # by Cauchy and Schwarz no kernel is larger than the norm of the part that landmarks have
-                bound = np.flatnonzero(self._norm(row, weight) >= FLOOR * FLOOR * own * 0.999)
-                out.update(dict.fromkeys(part))
-                if not len(bound):
+                norm = np.sqrt(own)
+                may = np.flatnonzero(np.array([most[u] for u in part]) >= 0.999 * FLOOR * norm)
+                if not len(may):
                     continue
-                near = np.zeros((len(bound), len(self.units)), np.float32)
-                sub = row[bound]
+                near = np.zeros((len(may), len(self.units)), np.float32)
+                sub = self._rows(codes[may], base)
                 for j, w in enumerate(weight.tolist()):
                     near += w * self.weights[sub[:, j]]
-                near /= np.sqrt(own[bound])[:, None]
+                near /= norm[may][:, None]
                 for i in np.flatnonzero((near >= FLOOR).any(axis=1)).tolist():
                     at = np.flatnonzero(near[i] >= FLOOR)
-                    out[part[bound[i]]] = (at, np.minimum(near[i, at], 1.0))
+                    out[part[may[i]]] = (at, np.minimum(near[i, at], 1.0))
         return out
 
-    @staticmethod
-    def _norm(row: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Squared norm of each unit's part that some landmark has."""
-        order = np.argsort(row, axis=1)
-        n = len(row)
-        big = np.int64(1 << 32)
-        flat = (np.arange(n)[:, None] * big + np.take_along_axis(row, order, 1)).ravel()
-        first = np.flatnonzero(np.diff(flat, prepend=-1))
-        sums = np.add.reduceat(weight[order].ravel(), first).astype(np.float64) ** 2
-        sums[flat[first] % big == 0] = 0
-        return np.bincount(flat[first] // big, sums, minlength=n)
-
 
 class Scorer:
     """Largest kernels of texts with the landmarks, with words remembered."""
@@ -202,38 +228,38 @@ class Scorer:
         self.landmarks = landmarks
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
+        #: the words of ``young`` that have kernels
+        self.near: set[str] = set()
         self.room = MEMORY_BYTES
 
     def largest(self, texts: list[str | None]) -> np.ndarray:
         split = [set(words_of(t)) for t in texts]
         lacking = set().union(*split).difference(self.young) if split else set()
         if lacking:
-            made: dict[str, tuple | None] = {}
-            units: dict[str, list[str]] = {}
-            for w in lacking:
-                if w in self.old:
-                    made[w] = self.old[w]
-                else:
-                    units[w] = units_of_word(w)
-            found = self.landmarks.kernels(list(set(chain.from_iterable(units.values()))))
+            made: dict[str, tuple | None] = {w: self.old[w] for w in lacking if w in self.old}
+            units = {w: units_of_word(w) for w in lacking.difference(made)}
+            made.update(dict.fromkeys(units))
+            found = {u: h for u, h in self.landmarks.kernels(list(set(chain.from_iterable(units.values())))).items() if h is not None}
+            some = set(found)
             for w, parts in units.items():
-                hits = [h for u in parts if (h := found[u]) is not None]
-                if len(hits) > 1:
-                    hits = [(np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))]
-                made[w] = hits[0] if hits else None
+                if not some.isdisjoint(parts):
+                    hits = [found[u] for u in parts if u in some]
+                    made[w] = hits[0] if len(hits) == 1 else (np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
             if self.room < 0:  # what this batch needs of the old words stays at hand
                 young = self.young
                 self.old, self.young = young, {w: young[w] for words in split for w in words if w in young}
+                self.near.intersection_update(self.young)
                 self.room = MEMORY_BYTES
-            self.room -= sum([ENTRY_BYTES + len(w) if v is None else 2 * ENTRY_BYTES + len(w) for w, v in made.items()])
+            near = [w for w, h in made.items() if h is not None]
+            self.room -= ENTRY_BYTES * (len(made) + len(near)) + sum(map(len, made))
+            self.near.update(near)
             self.young.update(made)
         out = np.zeros((len(texts), len(self.landmarks.units)), np.float32)
         young = self.young
         for i, words in enumerate(split):
-            for w in words:
-                h = young[w]
-                if h is not None:
-                    np.maximum.at(out[i], h[0], h[1])
+            hits = [young[w] for w in words & self.near]
+            if hits:
+                np.maximum.at(out[i], np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
         return out
 
 

@@ -296,6 +296,45 @@ def test_scores_from_definitions(marks):
     assert toxicity.text_scores(model, f"test{marks[0]}", texts) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
 
 
+def test_only_units_near_a_landmark_are_taken_in_full(monkeypatch):
+    """Units of the landmarks' own letters that are like none of them are left by a bound; none that has a kernel is."""
+    r = random.Random(6)
+    unit = lambda: "".join(r.choice("abcdeghilmnorstu") for _ in range(r.randint(6, 14)))
+    marks = list(dict.fromkeys(unit() for _ in range(96)))
+    bad = toxicity.Landmarks(marks)
+    forms = [m[:k] + x + m[k:] for m in marks[::4] for k, x in ((2, ""), (3, "q"), (4, "п"), (len(m), "s"))]
+    forms += [m[:2] + m[3:] for m in marks[::4]] + [marks[0] * 2]
+    words = list(dict.fromkeys([*forms, *(unit() for _ in range(3000))]))
+    full = []
+    real = toxicity.subsequence_rows
+    monkeypatch.setattr(toxicity, "subsequence_rows", lambda units, *rest: full.extend(units) or real(units, *rest))
+    got = bad.kernels(words)
+    assert len(full) < len(words) / 4
+    for w in [*forms, *r.sample(words, 60)]:
+        want = {k: v for k, m in enumerate(marks) if (v := brute_kernel(w, m)) >= toxicity.FLOOR}
+        have = {} if got[w] is None else dict(zip(got[w][0].tolist(), got[w][1].tolist()))
+        assert have == pytest.approx(want, abs=1e-5)
+
+
+def test_scorer_forgets_without_a_change(monkeypatch):
+    """Features are those of the definition also when the words that are remembered go between batches."""
+    r = random.Random(7)
+    marks = ["idiot", "worthless", "stupid"]
+    words = [*marks, *(m[:2] + "x" + m[2:] for m in marks), "Idiot!!", "m0ron,", "worthless" * 3, *("".join(r.choices("abcdeghilmnorst", k=7)) for _ in range(200)), "3.14", "!!!"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 20))) for _ in range(120)] + [None, ""]
+    monkeypatch.setattr(toxicity, "MEMORY_BYTES", 4000)
+    scorer = toxicity.Scorer(toxicity.Landmarks(marks))
+    got = np.concatenate([scorer.largest(texts[k : k + 10]) for k in range(0, len(texts), 10)])
+    assert scorer.old
+    for t, row in zip(texts, got):
+        kernels = [[brute_kernel(u, m) for m in marks] for w in toxicity.words_of(t) for u in toxicity.units_of_word(w)]
+        want = np.max([[v if v >= toxicity.FLOOR else 0 for v in ks] for ks in [*kernels, [0] * len(marks)]], axis=0)
+        assert row == pytest.approx(want, abs=1e-5)
+    assert [toxicity.units_of_word(w) for w in ("Idiot!!", "m0ron,", "3.14", "!!!", "i.d.i.o.t")] == [["idiot"], ["moron"], [], [], ["idiot"]]
+    assert toxicity.Landmarks([]).kernels(["idiot", "ababab"]) == {"idiot": None, "ababab": None}
+    assert toxicity.text_scores(toxicity.fit(["12 !", "", "a river"] * 20, [1, 0, 0] * 20), "none", ["idiot", None, "7"]).shape == (3,)
+
+
 def test_svm_is_at_its_minimum():
     """No step from the solution makes the regularised squared hinge smaller by more than a trace."""
     rng = np.random.default_rng(3)
