@@ -19,6 +19,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import giving_back
 from linkloom.plans.tables import arrow_fs, materialize, new_path
 
 #: A wide value: 64 and 32 bits of hash. Of a narrow one RESIDUAL bits below those that number its bucket are kept.
@@ -186,7 +187,7 @@ def repeats(sent: DataFrame, wide: bool, bits: int) -> str:
             yield from out(now, blocks, raw)
 
     path = new_path(sent.sparkSession, "repeats")
-    back = sent.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, SENT)
+    back = sent.repartitionById(1 << bits, F.col("bucket")).mapInArrow(giving_back(run), SENT)
     shelf = F.expr(f"block div {SHELF}").alias("shelf")
     # so that the rows of one block, and few others, are one row group
     back.select("*", shelf).repartition("shelf").sortWithinPartitions("shelf", "block", "bucket").write.option("parquet.block.size", 2 << 20).partitionBy("shelf").parquet(path)
@@ -219,4 +220,4 @@ def map_blocks(table: DataFrame, fn: Callable[[int, pa.Table], Iterator[pa.Recor
         for block, rows in by_block(it):
             yield from fn(block, rows)
 
-    return table.mapInArrow(run, schema)
+    return table.mapInArrow(giving_back(run), schema)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from linkloom.llm.common import ENTRY_BYTES, MEMORY_BYTES, kept, small_batches, table, vocabulary_path
+from linkloom.llm.common import ENTRY_BYTES, MEMORY_BYTES, giving_back, kept, small_batches, table, vocabulary_path
 
 #: White space of the tokenizer's patterns (Unicode White_Space): other than str.split, no \x1c-\x1f.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -252,7 +252,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids"
             texts = [model.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=[*b.schema.names, ids_col, decoded_col])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(giving_back(run), schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -23,6 +23,29 @@ ENTRY_BYTES = 260
 _kept: dict[tuple[str, str], object] = {}
 
 
+def give_back() -> None:
+    """Have the allocators return to the system what is free in this process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for a task of a Python worker, which gives back what it took when the task is over.
+
+    Workers wait for their next task beside the JVM and beside each other; what
+    their allocators hold meanwhile counts for the executor.
+    """
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)  # its variables are gone after this
+        give_back()
+
+    return task
+
+
 def kept(kind: str, key: str, make: Callable[[], object]):
     """``make()``, once for all tasks of a Python worker that follow one another.
 
@@ -35,10 +58,7 @@ def kept(kind: str, key: str, make: Callable[[], object]):
         if _kept:
             _kept.clear()
             gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
         got = _kept[kind, key] = make()
     return got
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.blocks import PIECE_BYTES
-from linkloom.llm.common import batches_of, kept, small_batches, table, text_bytes, word_hashes, word_spans
+from linkloom.llm.common import batches_of, giving_back, kept, small_batches, table, text_bytes, word_hashes, word_spans
 from linkloom.plans.tables import arrow_fs, new_path
 
 WINDOW = 10
@@ -42,6 +42,8 @@ WINDOW = 10
 SAMPLE = 32
 #: Windows that go through an index together.
 PATTERNS = 1 << 16
+#: Bytes of text of a shard in ``cut``, which runs beside what the stages before it left in the JVM.
+CUT_BYTES = PIECE_BYTES // 4
 #: Items of one window in a row; a window of more has several rows.
 ITEMS = 1024
 
@@ -149,13 +151,16 @@ class FMIndex:
         text[place] = ids + docs
         text[ends] = np.arange(docs)
         sa = suffix_array(text)
+        del text  # each array goes as soon as it can: a worker's peak counts for the executor
         symbol = np.zeros(n + docs, np.int64)
         symbol[place] = ids + 1
         last = symbol[sa - 1]  # before the first word of all lies a mark
+        del symbol, ids, place
         self.rows = len(sa)
         self.before = np.zeros(len(self.vocabulary) + 2, np.int64)
         np.cumsum(np.bincount(last, minlength=len(self.vocabulary) + 1), out=self.before[1:])
         self.wavelet = Wavelet(last, max(1, len(self.vocabulary).bit_length()))
+        del last
         starts = np.zeros(n + docs, bool)
         starts[(first[:-1] + np.arange(docs))[: max(docs, 0)]] = True
         kept = starts[sa] | (sa % SAMPLE == 0)
@@ -276,6 +281,7 @@ def _blocks(path: str, width: int) -> Iterator[Windows]:
 
 def find_hits(words: np.ndarray, first: np.ndarray, path: str, width: int) -> tuple[np.ndarray, list[set[str]]]:
     """Which words are hit, and the items that each document has windows of."""
+    kept("windows", path, list)  # what another stage remembers goes before the index is made
     index = FMIndex(words, first)
     marks = np.zeros(len(words) + 1, np.int64)
     items: list[set[str]] = [set() for _ in range(len(first) - 1)]
@@ -325,7 +331,7 @@ def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFram
     path = write_windows(benchmark, window)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches_of(it, PIECE_BYTES, "text"):
+        for rows in batches_of(it, CUT_BYTES, "text"):
             words, first, starts, ends, raw, offsets = _words(rows)
             hit, _ = find_hits(words, first, path, window)
             total = np.concatenate([[0], np.cumsum(hit)])
@@ -346,7 +352,7 @@ def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFram
             done = rows.set_column(k, "text", pa.array(column, pa.string())).filter(keep)
             yield from done.combine_chunks().to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def op3_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import blocks
 from linkloom.llm.blocks import PIECE_BYTES
-from linkloom.llm.common import batches_of, kept, mix, small_batches, table, text_bytes, word_hashes, word_spans
+from linkloom.llm.common import batches_of, giving_back, kept, mix, small_batches, table, text_bytes, word_hashes, word_spans
 from linkloom.llm.components import connected_components
 from linkloom.llm.substrings import Rolling
 from linkloom.plans.tables import drop_path, drop_table, materialize, release
@@ -114,17 +114,21 @@ def shingles(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = text_bytes(rows.column("text"))
     starts, ends, first = word_spans(raw, offsets, IS_WORD)
     h = word_hashes(raw, starts, ends)
+    del raw, starts, ends
     sizes = np.diff(first)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     left = np.repeat(first[1:], sizes) - np.arange(len(h))
     rolling = Rolling(h)
     at = np.flatnonzero(left >= SHINGLE)
+    del h, left
     values = rolling(at, SHINGLE)
     short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
     owner = np.concatenate([doc[at], short])
+    del doc
     values = np.concatenate([values, *(rolling(first[s : s + 1], int(sizes[s])) for s in short)]) if len(short) else values
     o = np.lexsort((values, owner))
     owner, values = owner[o], values[o]
+    del o, at
     fresh = np.ones(len(values), bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
     owner, values = owner[fresh], values[fresh]
@@ -188,7 +192,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
             buckets = band_hashes(signatures(values, offsets), sizes)
             yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "n_shingles", "buckets"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, buckets array<long>")
+    return docs.select("id", "text").mapInArrow(giving_back(run), "id long, n_shingles long, buckets array<long>")
 
 
 def _sets(stored: DataFrame, total: int) -> DataFrame:

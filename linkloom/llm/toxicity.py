@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import ENTRY_BYTES, MEMORY_BYTES, kept, small_batches, table
+from linkloom.llm.common import ENTRY_BYTES, MEMORY_BYTES, giving_back, kept, small_batches, table
 
 ORDER, SPAN, DECAY = 3, 7, 0.75
 #: Longest unit; longer words are cut into pieces that overlap by half.
@@ -414,7 +414,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for b in it:
             yield b.filter(pa.array(text_scores(model, key, b.column("text").to_pylist()) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def op1_ssk_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,19 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from contextlib import suppress
 from pathlib import Path
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkloom.llm import bitplanes, bpe, components, fmindex, neardup, pii, sharding, substrings, toxicity, urls, webp
+from linkloom.llm import bitplanes, blocks, bpe, common, components, fmindex, neardup, pii, sharding, substrings, toxicity, urls, webp
 from linkloom.llm.common import vocabulary_path
 from linkloom.plans.tables import new_path
 
@@ -384,3 +387,25 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(rows())
     assert toxicity.score(empty, model).count() == 0 and toxicity.training_rows(df, labels.limit(0)) == ([], [])
     assert toxicity.score(docs, toxicity.fit([], [])).agg(F.max("score")).first()[0] == 0
+
+
+def test_stages_hold_little_memory(spark, bench, monkeypatch):
+    """A stage's task cuts a few hundred texts at a time, and gives memory back once, when it is over."""
+    rows = [pa.RecordBatch.from_pydict({"doc_id": list(range(k, k + 64)), "text": [prose(3500, k * 64 + j) for j in range(64)]}) for k in range(0, 256, 64)]
+    docs = SimpleNamespace(schema="doc_id long, text string", mapInArrow=lambda run, schema: run)
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    common.kept("windows", "none", list)  # else what other tests left goes now
+    run = fmindex.cut(docs, bench)
+    given.clear()
+    tracemalloc.start()
+    try:
+        out = sum(b.num_rows for b in run(iter(rows)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out == 256
+    assert peak < 40 * rows[0].nbytes
+    ended = len(given)
+    assert ended and sum(b.num_rows for b in blocks.map_blocks(docs, lambda block, part: part.to_batches(), "")(iter([b.append_column("block", pa.array([0] * 64, pa.int32())) for b in rows]))) == 256
+    assert len(given) == ended + 1
